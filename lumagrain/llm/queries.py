@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .decontamination import op1_decontamination
+from .packing import op2_packing
 from .quality_rules import op10_quality_rules
 from .token_counts import op7_token_counts
 from .url_filters import op6_url_filters
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_packing": op2_packing,
     "op6_url_filters": op6_url_filters,
     "op7_token_counts": op7_token_counts,
     "op10_quality_rules": op10_quality_rules,
