@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op1_decontamination
+from .near_dedup import op8_near_dedup
 from .packing import op2_packing
 from .quality_rules import op10_quality_rules
 from .substring_dedup import op9_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_url_filters": op6_url_filters,
     "op7_token_counts": op7_token_counts,
+    "op8_near_dedup": op8_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
