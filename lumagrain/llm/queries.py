@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op1_decontamination
 from .near_dedup import op8_near_dedup
 from .packing import op2_packing
+from .quality_classifier import op4_quality_classifier
 from .quality_rules import op10_quality_rules
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
@@ -14,6 +15,7 @@ from .url_filters import op6_url_filters
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_url_filters": op6_url_filters,
     "op7_token_counts": op7_token_counts,
