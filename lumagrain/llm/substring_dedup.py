@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import IS_WORD, prefix, slices, spread, table, utf8, word_hashes, words
 from .fm_index import FmIndex
-from .winnow import Elements, Fragment, covered, fragments, judged, removal_spans, row_keyed
+from .winnow import Elements, Fragment, covered, fragments, judged, removal_spans, row_keyed, with_spans
 
 WINDOW, GRAM = 20, 5
-SHARD_BYTES, HOT_BYTES = 4 << 20, 8 << 20
+SHARD_BYTES, HOT_BYTES = 2 << 20, 4 << 20
 
 
 def word_elements(column) -> Elements:
@@ -83,16 +83,16 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     words. The key must be an integer; null keys come first, and rows with repeated keys are documents of their own
     in a fixed order. An empty table gives an empty one.
 
-    Shuffled are least hashes (one per about half a window), the text of runs that may repeat, once a task, and the
-    documents once, to meet their spans. A shard holds at most shard_bytes of distinct fragments and one group more;
+    Shuffled are least hashes (one per about half a window), the text of one of each run that may repeat, and the
+    documents that have spans, to meet them. A shard holds at most shard_bytes of distinct fragments and one group more;
     a group over hot_bytes goes by hashes of its windows."""
     added = ("n_words", "n_removed", "kept")
     keyed = row_keyed(docs.drop(*(set(added) - {key, text})), key)
-    frags = fragments(keyed.select("_rid", "_sub", text), text, word_elements, window, gram)
+    members, shard_rows = fragments(keyed.select("_rid", "_sub", text), text, word_elements, window, gram)
     later = lambda met: F.struct("_rid", "_sub", "pos") != F.col("first")
-    results = judged(frags, lambda found: repeats(found, window), word_elements, window, later, shard_bytes, hot_bytes)
-    spans = removal_spans(frags, results, window, later_whole=True)
-    joined = keyed.join(spans, ["_rid", "_sub"], "left").drop("_rid", "_sub")
+    results = judged(shard_rows, lambda found: repeats(found, window), word_elements, window, later, shard_bytes, hot_bytes)
+    spans = removal_spans(members, results, window, later_whole=True)
+    joined = with_spans(keyed, spans)
     names = [c for c in joined.columns if c != "_spans"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "_spans")
 

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import U64, prefix, slices, table, utf8
 from .induced_sorting import permuted_common_prefixes, suffix_array
-from .winnow import Elements, Fragment, covered, fragments, joined_ranges, judged, removal_spans, row_keyed
+from .winnow import Elements, Fragment, covered, fragments, joined_ranges, judged, removal_spans, row_keyed, with_spans
 
 LENGTH, GRAM = 400, 40
-SHARD_BYTES, HOT_BYTES = 4 << 20, 8 << 20
+SHARD_BYTES, HOT_BYTES = 2 << 20, 4 << 20
 END = 0xFF  # no UTF-8 byte
 
 
@@ -60,15 +60,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     one included; strings are judged on the input. Null is the empty text. Rows with repeated or null keys are
     documents of their own; the key must be an integer. An empty table gives an empty one.
 
-    Shuffled are least hashes (one per about half a window), the text of runs that may repeat, once a task, and the
-    documents once, to meet their spans. A shard holds at most shard_bytes of distinct fragments and one group more;
+    Shuffled are least hashes (one per about half a window), the text of one of each run that may repeat, and the
+    documents that have spans, to meet them. A shard holds at most shard_bytes of distinct fragments and one group more;
     a group over hot_bytes goes by hashes of its windows."""
     added = ("n_bytes", "n_removed", "n_spans", "kept")
     keyed = row_keyed(docs.drop(*(set(added) - {key, text})), key)
-    frags = fragments(keyed.select("_rid", "_sub", text), text, byte_elements, length, gram)
-    results = judged(frags, lambda found: repeats(found, length), byte_elements, length, lambda met: met["copies"] > 1, shard_bytes, hot_bytes)
-    spans = removal_spans(frags, results, length, later_whole=False)
-    joined = keyed.join(spans, ["_rid", "_sub"], "left").drop("_rid", "_sub")
+    members, shard_rows = fragments(keyed.select("_rid", "_sub", text), text, byte_elements, length, gram)
+    results = judged(shard_rows, lambda found: repeats(found, length), byte_elements, length, lambda met: met["copies"] > 1, shard_bytes, hot_bytes)
+    spans = removal_spans(members, results, length, later_whole=False)
+    joined = with_spans(keyed, spans)
     names = [c for c in joined.columns if c != "_spans"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "_spans")
 

@@ -3,7 +3,10 @@
 Every window (W consecutive bytes or words of one document) is dealt by the least hash of its k-grams. Equal windows
 have equal least hashes, so whatever repeats meets in one partition; consecutive windows mostly share theirs, so a
 document falls into runs of windows, and each run is one fragment of text. Runs whose least hash stands nowhere else
-cannot repeat and are never shipped as text.
+cannot repeat and go no further; equal fragments are counted, and the text of one of them is shipped.
+
+Which runs go further, and which ship their text, tasks learn from filters of a fixed size that are broadcast: at any
+size of the input a filter passes all that it must, and when it is full it passes more, which costs time only.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, slices, stored
+from .common import U64, mix, powers, range_hash, slices, small_batches, stored
 
 BLOOM_BITS = 1 << 26  # 8 MB at any size of the input: a full filter costs time, never results
 BLOOM_PARTS = 64
@@ -59,15 +62,7 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def _hash(sums: np.ndarray, start, end) -> np.ndarray:
-    from .common import range_hash
-
-    return range_hash(sums, start, end)
-
-
 def runs(e: Elements, window: int, gram: int) -> Runs:
-    from .common import powers
-
     n = len(e.prefix) - 1
     none = np.zeros(0, np.int64)
     size = np.diff(e.offsets)
@@ -103,7 +98,7 @@ def runs(e: Elements, window: int, gram: int) -> Runs:
 
     a, b = total(opens), total(closes)
     twice = (a > 1) | (b > 1) | ((a == 1) & (b == 1) & (total(at * opens) != total((at + w - 1) * closes)))
-    return Runs(np.searchsorted(e.offsets, start, "right") - 1, start, end, least[start], twice, _hash(e.prefix, start, end + window - 1))
+    return Runs(np.searchsorted(e.offsets, start, "right") - 1, start, end, least[start], twice, range_hash(e.prefix, start, end + window - 1))
 
 
 def bloom_slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,50 +109,71 @@ def bloom_slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return part + (h % size).astype(np.int64), part + ((h >> U64(32)) % size).astype(np.int64)
 
 
-def _bloom(recurrent: DataFrame) -> np.ndarray:
-    """Bits set for the column `least`. Each part of the filter is made by one group of rows and is 128 KB, so the
-    driver gets 8 MB whatever the input's size."""
-    part = F.shiftrightunsigned("least", 58).cast("int")
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
-        size = BLOOM_BITS // BLOOM_PARTS
-        for batch in batches:
-            keys = batch.column(0).to_numpy().view(U64)
-            for slot in bloom_slots(keys):
-                for p in np.unique(slot // size).tolist():
-                    held = bits.setdefault(p, np.zeros(size, bool))
-                    held[slot[slot // size == p] - p * size] = True
-        for p, held in bits.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["part", "bits"])
-
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for row in recurrent.repartition(BLOOM_PARTS, part).select("least").mapInArrow(build, "part int, bits binary").toLocalIterator():
-        at = row["part"] * (BLOOM_BITS // BLOOM_PARTS // 8)
-        out[at : at + len(row["bits"])] |= np.frombuffer(row["bits"], np.uint8)
+def joint_key(*columns: np.ndarray) -> np.ndarray:
+    """One 64-bit key of whole-number columns."""
+    out = np.zeros(len(columns[0]), U64)
+    for c in columns:
+        out = mix(out * U64(0x100000001B3) + c.astype(np.int64).view(U64))
     return out
 
 
+class Filter:
+    """A Bloom filter of 8 MB over the rows of a table of whole-number columns."""
+
+    def __init__(self, rows: DataFrame):
+        names = rows.columns
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(joint_key(*(c.to_numpy() for c in batch.columns)).view(np.int64))], names=["key"])
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits: dict[int, np.ndarray] = {}
+            size = BLOOM_BITS // BLOOM_PARTS
+            for batch in batches:
+                for slot in bloom_slots(batch.column(0).to_numpy().view(U64)):
+                    of = slot // size
+                    for p in np.unique(of).tolist():
+                        bits.setdefault(p, np.zeros(size, bool))[slot[of == p] - p * size] = True
+            for p, held in bits.items():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["part", "bits"])
+
+        keys = rows.select(names).mapInArrow(keyed, "key long").repartition(F.shiftrightunsigned("key", 58))
+        held = np.zeros(BLOOM_BITS // 8, np.uint8)
+        for row in keys.mapInArrow(build, "part int, bits binary").collect():  # 8 MB at any size
+            at = row["part"] * (BLOOM_BITS // BLOOM_PARTS // 8)
+            held[at : at + len(row["bits"])] |= np.frombuffer(row["bits"], np.uint8)
+        self.shared = rows.sparkSession.sparkContext.broadcast(held)
+
+    def __getstate__(self):
+        return {"shared": self.shared}
+
+    def passes(self, *columns: np.ndarray) -> np.ndarray:
+        """Which rows may be in the table: all that are, and few others while the filter is not full."""
+        held = self.shared.value
+        a, b = bloom_slots(joint_key(*columns))
+        return ((held[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (held[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def row_keyed(docs: DataFrame, key: str) -> DataFrame:
     """The documents with a unique, ordered row key (_rid, _sub): the integer key itself where it is unique and
     never null; else a stored copy with null as the least key and a row number beside it, so that repeated ids stay
     documents of their own."""
+    small_batches(docs.sparkSession)
     counts = docs.groupBy(key).count().agg(F.max("count"), F.count_if(F.col(key).isNull())).first()
     if (counts[0] or 0) <= 1 and not counts[1]:
         return docs.withColumns({"_rid": F.col(key).cast("long"), "_sub": F.lit(0).cast("long")})
     return stored(docs.withColumns({"_rid": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "_sub": F.monotonically_increasing_id()}))
 
 
-FRAGMENT = "_rid long, _sub long, least long, content long, start int, n int, twice boolean, text binary"
-
+def fragments(docs: DataFrame, text: str, elements: Callable, window: int, gram: int, slice_bytes: int = 1 << 19) -> tuple[DataFrame, DataFrame]:
+    """(runs, shards): the runs that may repeat, stored, as (_rid, _sub, least, content, start, n windows, twice); and
+    rows for shards, partitioned by the least hash and sorted: for each distinct fragment of a least hash that recurs
+    one row of counts with its first occurrence, and its text. `docs` comes from row_keyed.
 
-def fragments(docs: DataFrame, text: str, elements: Callable, window: int, gram: int, slice_bytes: int = 1 << 19) -> DataFrame:
-    """Runs that may repeat, stored: (_rid, _sub, least, content, start, n windows, twice, text). `docs` comes from
-    row_keyed. The text of equal runs is shipped once a task; their other rows have null.
-
-    A first pass counts least hashes alone; those that recur, as a filter of fixed size, decide which runs the
-    second pass ships. Counting sums within tasks before it shuffles, so a hash that every document has is one row
-    a task."""
+    Three passes over the text, each of which makes the runs anew rather than keep them: the first counts least
+    hashes, the second writes the runs whose least hash recurs, the third ships the text of first occurrences. Counts
+    are summed within tasks before they are shuffled, so what every document has is one row a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, slice_bytes):
@@ -167,42 +183,45 @@ def fragments(docs: DataFrame, text: str, elements: Callable, window: int, gram:
             yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(n)], names=["least", "n"])
 
     counted = docs.select(text).mapInArrow(count, "least long, n long").groupBy("least").agg(F.sum("n").alias("n")).where("n > 1").select("least")
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(counted))
+    recurrent = Filter(counted)
 
-    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = bits.value
-        shipped: set[int] = set()
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, slice_bytes):
             e = elements(batch.column(text))
             found = runs(e, window, gram)
-            a, b = bloom_slots(found.least)
-            keep = np.flatnonzero((held[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (held[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1)
-            texts = []
-            for k, c in zip(keep.tolist(), found.content[keep].tolist(), strict=True):
-                texts.append(None if c in shipped else e.text(int(found.start[k]), int(found.end[k]) + window - 1))
-                shipped.add(c)
-            if len(shipped) > 1 << 20:
-                shipped.clear()
+            keep = np.flatnonzero(recurrent.passes(found.least.view(np.int64)))
             doc = found.doc[keep]
             rid, sub = batch.column("_rid").take(pa.array(doc)), batch.column("_sub").take(pa.array(doc))
             yield pa.RecordBatch.from_arrays(
-                [rid, sub, pa.array(found.least[keep].view(np.int64)), pa.array(found.content[keep].view(np.int64)), pa.array((found.start[keep] - e.offsets[doc]).astype(np.int32)), pa.array((found.end[keep] - found.start[keep]).astype(np.int32)), pa.array(found.twice[keep]), pa.array(texts, pa.binary())],
-                names=["_rid", "_sub", "least", "content", "start", "n", "twice", "text"],
+                [rid, sub, pa.array(found.least[keep].view(np.int64)), pa.array(found.content[keep].view(np.int64)), pa.array((found.start[keep] - e.offsets[doc]).astype(np.int32)), pa.array((found.end[keep] - found.start[keep]).astype(np.int32)), pa.array(found.twice[keep])],
+                names=["_rid", "_sub", "least", "content", "start", "n", "twice"],
             )
 
-    return stored(docs.select("_rid", "_sub", text).mapInArrow(ship, FRAGMENT))
+    keyed = docs.select("_rid", "_sub", text)
+    members = stored(keyed.mapInArrow(write, "_rid long, _sub long, least long, content long, start int, n int, twice boolean"))
+    kinds = ["least", "content"]
+    counts = members.groupBy(*kinds).agg(F.count("*").alias("copies"), F.min(F.struct("_rid", "_sub", "start")).alias("f"), F.max("n").alias("n"), F.max(F.col("twice").cast("int")).alias("twice"))
+    counts = counts.select(*kinds, "copies", "f._rid", "f._sub", "f.start", "n", "twice")
+    total = counts.groupBy("least").agg(F.sum(F.col("copies") + F.col("twice")).alias("_n")).where("_n > 1").select("least")
+    counts = stored(counts.join(total, "least", "left_semi"))
+    firsts = Filter(counts.select("_rid", "_sub", "start"))
 
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, slice_bytes):
+            e = elements(batch.column(text))
+            found = runs(e, window, gram)
+            keep = np.flatnonzero(recurrent.passes(found.least.view(np.int64)))
+            doc = found.doc[keep]
+            rid, sub = (batch.column(c).to_numpy()[doc] for c in ("_rid", "_sub"))
+            first = firsts.passes(rid, sub, found.start[keep] - e.offsets[doc])
+            keep = keep[first]
+            texts = [e.text(a, b + window - 1) for a, b in zip(found.start[keep].tolist(), found.end[keep].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found.least[keep].view(np.int64)), pa.array(found.content[keep].view(np.int64)), pa.array(texts, pa.binary())], names=[*kinds, "text"])
 
-def shard_input(frags: DataFrame) -> DataFrame:
-    """Rows (least, content, copies, _rid, _sub, start, n, twice, text) for shards, partitioned by the least hash and
-    sorted: for each distinct fragment one row of counts with its first occurrence, and one or a few rows of text.
-    Counts are summed within tasks first; copies of a text are as many as tasks that shipped it."""
-    kinds = "least", "content"
-    counts = frags.groupBy(*kinds).agg(F.count("*").alias("copies"), F.min(F.struct("_rid", "_sub", "start")).alias("f"), F.max("n").alias("n"), F.max(F.col("twice").cast("int")).alias("twice"))
-    counts = counts.select(*kinds, "copies", "f._rid", "f._sub", "f.start", "n", "twice", F.lit(None).cast("binary").alias("text"))
-    texts = frags.where("text IS NOT NULL").select(*kinds, F.lit(0).cast("long").alias("copies"), *(F.lit(0).cast(t).alias(c) for c, t in (("_rid", "long"), ("_sub", "long"), ("start", "int"), ("n", "int"), ("twice", "int"))), "text")
-    both = counts.unionByName(texts)
-    return both.repartition("least").sortWithinPartitions("least", "content", F.desc("copies"))
+    shipped = keyed.mapInArrow(ship, "least long, content long, text binary")
+    texts = shipped.select(*kinds, F.lit(0).cast("long").alias("copies"), *(F.lit(0).cast(t).alias(c) for c, t in (("_rid", "long"), ("_sub", "long"), ("start", "int"), ("n", "int"), ("twice", "int"))), "text")
+    both = counts.withColumn("text", F.lit(None).cast("binary")).unionByName(texts)
+    return members, both.repartition("least").sortWithinPartitions("least", "content", F.desc("copies"))
 
 
 @dataclass
@@ -218,8 +237,7 @@ class Fragment:
 
 
 def shards(batches: Iterator[pa.RecordBatch], shard_bytes: int, hot_bytes: int) -> Iterator[tuple[list[Fragment], bool]]:
-    """(fragments, whole) of one or more least hashes together, from sorted rows of shard_input. Groups that cannot
-    repeat are left out. A group of over hot_bytes comes in parts with whole = False; the caller must settle it by
+    """(fragments, whole) of one or more least hashes together, from the sorted rows of fragments(). A group of over hot_bytes comes in parts with whole = False; the caller must settle it by
     window hashes. Memory: one shard."""
     ready: list[Fragment] = []
     held = 0
@@ -249,7 +267,7 @@ def shards(batches: Iterator[pa.RecordBatch], shard_bytes: int, hot_bytes: int)
                 last = Fragment(l, c, n_copies, rid, sub, start, n, None)
                 copies += n_copies
                 twice |= bool(two)
-            elif last.text is None:
+            elif last is not None and (last.least, last.content) == (l, c) and last.text is None:
                 last.text = text
                 group.append(last)
                 size += len(text)
@@ -277,7 +295,7 @@ def hot_windows(hot: DataFrame, elements: Callable, window: int) -> DataFrame:
             w = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = e.offsets[doc] + w
             back = pa.array(doc)
-            whole = _hash(e.prefix, at, at + window)
+            whole = range_hash(e.prefix, at, at + window)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(back) for c in ("least", "content", "copies", "_rid", "_sub")), pa.array(batch.column("start").to_numpy()[doc].astype(np.int64) + w), pa.array(w.astype(np.int32)), pa.array(whole.view(np.int64))], names=["least", "content", "copies", "_rid", "_sub", "pos", "w", "hash"])
 
     rows = hot.mapInArrow(explode, "least long, content long, copies long, _rid long, _sub long, pos long, w int, hash long")
@@ -299,7 +317,7 @@ def joined_ranges(at: list[int]) -> list[int]:
 HOT = "least long, content long, copies long, _rid long, _sub long, start int, n int, text binary, windows array<int>"
 
 
-def judged(frags: DataFrame, judge: Callable[[list[Fragment]], list[list[int]]], elements: Callable, window: int, flagged: Callable, shard_bytes: int, hot_bytes: int) -> DataFrame:
+def judged(shard_rows: DataFrame, judge: Callable[[list[Fragment]], list[list[int]]], elements: Callable, window: int, flagged: Callable, shard_bytes: int, hot_bytes: int) -> DataFrame:
     """(least, content, copies, _rid, _sub, start, windows) of each distinct fragment: its first occurrence, and the
     flat ranges of windows to remove there. `judge` does this for a shard; groups beyond hot_bytes go by window
     hashes, of which `flagged` says which are removed."""
@@ -313,7 +331,7 @@ def judged(frags: DataFrame, judge: Callable[[list[Fragment]], list[list[int]]],
             for a in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[a : a + 2000], strict=True), types, strict=True)], names=names)
 
-    out = stored(shard_input(frags).mapInArrow(run, HOT))
+    out = stored(shard_rows.mapInArrow(run, HOT))
     settled = out.where("windows IS NOT NULL").drop("text", "n")
     hot = out.where("windows IS NULL")
     if hot.isEmpty():
@@ -325,12 +343,11 @@ def judged(frags: DataFrame, judge: Callable[[list[Fragment]], list[list[int]]],
     return settled.unionByName(hot.drop("text", "n", "windows").join(each.select("least", "content", pairs.alias("windows")), ["least", "content"]).select(settled.columns))
 
 
-def removal_spans(frags: DataFrame, results: DataFrame, window: int, later_whole: bool) -> DataFrame:
+def removal_spans(members: DataFrame, results: DataFrame, window: int, later_whole: bool) -> DataFrame:
     """(_rid, _sub, spans): flat [start, end) element ranges to remove from each document. Every occurrence of a
     fragment gets its ranges; with later_whole, all but the first occurrence are removed as a whole."""
-    members = frags.drop("text", "twice")
     r = results.select("least", "content", F.struct("_rid", "_sub", "start").alias("f"), "windows")
-    m = members.join(r, ["least", "content"])
+    m = members.drop("twice").join(r, ["least", "content"])
     own = F.col("windows")
     if later_whole:
         own = F.when(F.struct("_rid", "_sub", "start") == F.col("f"), own).otherwise(F.array(F.lit(0), F.col("n")))
@@ -350,3 +367,23 @@ def covered(spans: pa.Array, offsets: np.ndarray, total: int) -> np.ndarray:
         np.add.at(depth, at[0::2], 1)
         np.add.at(depth, at[1::2], -1)
     return np.cumsum(depth)[:-1] > 0
+
+
+def passing(keyed: DataFrame, known: Filter, want: bool = True) -> DataFrame:
+    """The rows of a row-keyed frame that may be in the filter's table, or those that surely are not; in place."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(known.passes(batch.column("_rid").to_numpy(), batch.column("_sub").to_numpy()) == want))
+
+    return keyed.mapInArrow(run, fields)
+
+
+def with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:
+    """The documents with _spans (null if they have none), without row keys. Documents that surely have none are told
+    by a filter and not shuffled."""
+    spans = stored(spans)
+    known = Filter(spans.select("_rid", "_sub"))
+    joined = passing(keyed, known).join(spans, ["_rid", "_sub"], "left")
+    return joined.unionByName(passing(keyed, known, False).withColumn("_spans", F.lit(None).cast("array<int>"))).drop("_rid", "_sub")
