@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType())}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from "name kind, ..."; needs no session, as a parsed DDL text would."""
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (field.split() for field in text.split(", "))])
 
 
 DESCRIPTORS = _struct("asset_id string, content_signature string, width int, height int, byte_count long, captured_at_ms long, is_favorite boolean, is_edited boolean")
