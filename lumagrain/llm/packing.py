@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
-from .tokens import VOCABULARY, WordIds, vocabulary_path
+from .common import slices, small_batches, table
+from .tokens import VOCABULARY, vocabulary_path, worker_cache
 
 WINDOW = 2048
 END = 1  # the id that ends each document
@@ -122,11 +122,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     with equal keys are packed as documents of their own; an empty table gives no pieces; other columns are not read.
     A shard is what one task has read up to SHARD_TOKENS ids (a longer document stands alone), so memory is bounded
     and each task leaves at most one window a shard unfilled. sequence_id is the task's partition and a count."""
+    small_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path(VOCABULARY)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordIds(path)
+        cache = worker_cache(path)
         part = TaskContext.get().partitionId() << 32
         names = [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         base = 0

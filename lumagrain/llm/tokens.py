@@ -31,25 +31,36 @@ def load(path: str):
     return t
 
 
+JOIN = 200  # words that are encoded as one text, parted by a special token, whose own id parts their ids
+
+
 class WordIds:
     """Worker cache from words to their ids. At most 2**(bits - 1) words and `pool` ids are held; when either is
     full the cache starts anew, so memory is bounded and results never depend on it."""
 
-    def __init__(self, path: str, bits: int = 21, pool: int = 1 << 24, dtype=np.uint16):
+    def __init__(self, path: str, bits: int = 22, pool: int = 1 << 24, dtype=np.uint16):
         self.encoder, self.bits, self.pool, self.dtype = load(path), bits, pool, dtype
+        special = [(k, t.content) for k, t in sorted(self.encoder.get_added_tokens_decoder().items()) if t.special and not t.normalized]
+        self.mark = special[0] if special else None
         self.clear()
 
     def clear(self) -> None:
         self.table = HashTable(self.bits)
         self.lengths, self.starts, self.ids, self.used, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype), 0, 0
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, one after the other, and how many each word has."""
+        if self.mark is None or any(self.mark[1] in t for t in texts):
+            each = [e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter((x for ids in each for x in ids), self.dtype), np.fromiter(map(len, each), np.int64, len(each))
+        mark, content = self.mark
+        joined = [content.join(texts[k : k + JOIN]) + content for k in range(0, len(texts), JOIN)]
+        flat = np.concatenate([np.array(e.ids, self.dtype) for e in self.encoder.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(flat == mark)
+        return flat[flat != mark], np.diff(ends, prepend=-1) - 1
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = self.encode(texts)
-        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((x for each in ids for x in each), self.dtype, int(lengths.sum()))
+        flat, lengths = self.encode(texts)
         while self.n + len(keys) > len(self.lengths):
             self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts))
         while self.used + len(flat) > len(self.ids):
@@ -85,7 +96,21 @@ class WordIds:
         data, offsets = utf8(column)
         starts, ends, of = words(data, offsets, IS_WORD)
         at = self.find(word_hashes(data, starts, ends), data, starts, ends)
-        lengths = self.lengths[at]
         total = np.zeros(len(at) + 1, np.int64)
-        np.cumsum(lengths, out=total[1:])
-        return self.ids[spread(self.starts[at], lengths)], total[of]
+        np.cumsum(self.lengths[at], out=total[1:])
+        return self.gather(at), total[of]
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of words by their indices, one word after the other."""
+        return self.ids[spread(self.starts[at], self.lengths[at])]
+
+
+_held: dict[tuple, WordIds] = {}
+
+
+def worker_cache(path: str, kind: type = WordIds) -> WordIds:
+    """This worker process's cache, which outlives a task: the next task of the worker goes on with it."""
+    if (path, kind) not in _held:
+        _held.clear()
+        _held[path, kind] = kind(path)
+    return _held[path, kind]
