@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, LOWER, U64, mix, prefix, range_hash, slices, sorted_groups, stored, table, utf8, word_hashes, words
+from .common import IS_WORD, LOWER, U64, mix, prefix, range_hash, slices, small_batches, sorted_groups, stored, table, utf8, word_hashes, words
 from .components import components
-from .winnow import row_keyed
+from .winnow import Filter, passing, row_keyed
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, KEPT = 16, 3  # a pair at 0.8 shares one of 16 sketches of 3 with probability 1 - (1 - 0.8**3)**16 > 0.99998
@@ -198,7 +198,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     parts = lambda n: F.ceil(n / F.lit(group))
     salt = lambda n, seed: F.pmod(F.xxhash64("_rid", "_sub", F.lit(seed)), parts(n)).cast("long")
     members = stored(keys.join(chosen, "key").select("key", "_rid", "_sub", "n", salt(F.col("n"), 0).alias("salt")))
-    texts = keyed
+    texts = passing(keyed, Filter(members.select("_rid", "_sub")))  # only these are shuffled
     links, large = [], members
     for k in range(ROUNDS):
         found = _links(large.select("key", "salt", "_rid", "_sub"), texts, text, similarity)
@@ -227,6 +227,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Two documents are linked if their aligned labelled five-word shingles are at least `similarity` of all; exact
     copies are in one class. Null, empty and blank texts are classes of their own. The key must be an integer; rows
     with repeated or null keys are documents of their own, null the least. An empty table gives an empty one."""
+    small_batches(docs.sparkSession)
     keyed = row_keyed(docs.drop(*({"class_id", "is_first"} - {key, text})), key)
     found = classes(keyed, key, text, similarity, group)
     names = [c for c in keyed.columns if c not in ("_rid", "_sub")]
