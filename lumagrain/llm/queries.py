@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op1_decontamination
+from .lm_scoring import op3_lm_scoring
 from .near_dedup import op8_near_dedup
 from .packing import op2_packing
 from .quality_classifier import op4_quality_classifier
@@ -15,6 +16,7 @@ from .url_filters import op6_url_filters
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_url_filters": op6_url_filters,
