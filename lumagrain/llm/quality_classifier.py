@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, LOWER, U64, mix, prefix, range_hash, slices, stored, sums, table, utf8, word_hashes, words
+from .common import IS_WORD, LOWER, U64, mix, prefix, range_hash, slices, small_batches, stored, sums, table, utf8, word_hashes, words
 
 BUCKETS = 1 << 17
 GRAMS = 2
-EFFECTIVE = 128  # n-grams of the text length to which weights are brought
+EFFECTIVE = 1024  # n-grams of the text length to which weights are brought: a text of some 500 words
 MOST_LABELLED = 20_000  # labelled documents of either kind that the model and the cut see: the least hashes of ids
 SMOOTHING = 1.0
+GOOD_LOSS = 4  # of a good document that the cut rejects, against 1 of another that it keeps
 UNIT = 1 << 18  # log ratios are whole numbers of 1 / UNIT, so that sums don't depend on the order of rows
 SPLIT = 2048  # intervals of a selection's round
 
@@ -68,6 +69,7 @@ def among(column: pa.Array, ids: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", target: Column | None = None, good: Column | None = None, most: int = MOST_LABELLED, buckets: int = BUCKETS) -> Ratio:
     """Counts n-grams over all documents, and over the bounded sample of target documents among them. Each task sums
     its buckets before they are shuffled; the driver gets one row a bucket."""
+    small_batches(docs.sparkSession)
     good = F.coalesce(F.col("quality") == 1, F.lit(False)) if good is None else good
     target = good & (F.coalesce("toxic", F.lit(0)) == 0) if target is None else target
     half = F.xxhash64(F.col(key).cast("long"), F.lit(1)) % 2 == 0  # of the labelled good; the others find the cut
@@ -124,12 +126,12 @@ def scored(docs: DataFrame, model: Ratio, key: str = "doc_id", text: str = "text
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> int:
-    """The least weight with the fewest errors: good documents below it and others at or above it."""
+    """The least weight with the least loss: good documents below it, GOOD_LOSS each, and others at or above it."""
     if not good.any():
         return int(np.iinfo(np.int64).min)
     order = np.argsort(weights, kind="stable")
     w, g = weights[order], good[order]
-    errors = np.append(0, np.cumsum(g)) + np.append(np.cumsum((~g)[::-1])[::-1], 0)
+    errors = GOOD_LOSS * np.append(0, np.cumsum(g)) + np.append(np.cumsum((~g)[::-1])[::-1], 0)
     starts = np.append(True, w[1:] != w[:-1])  # a cut stands before the first of equal weights
     k = np.flatnonzero(starts)[np.argmin(errors[:-1][starts])]
     return int(w[k])
