@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_ALNUM, LOWER, HashTable, slices, sums, table, utf8, word_hashes, words
+from .common import IS_ALNUM, LOWER, HashTable, slices, small_batches, sums, table, utf8, word_hashes, words
 
 WINDOW = 13
 SHARD_BYTES = 2 << 20
@@ -177,6 +177,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     their id, repeated documents each; an empty benchmark or table gives no hits or no rows. Other columns stay;
     those with added names are replaced. Nothing is shuffled. Benchmark blocks of at most BLOCK_BYTES are broadcast,
     each searched in its own pass over the same rows; a document's spans of all blocks are united."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(*(set(ADDED) - {text}))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     names = docs.columns
