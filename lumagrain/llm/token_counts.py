@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, HashTable, slices, sums, table, utf8, word_hashes, words
-from .tokens import VOCABULARY, WordIds, vocabulary_path
+from .common import IS_WORD, HashTable, slices, small_batches, sums, table, utf8, word_hashes, words
+from .tokens import VOCABULARY, WordIds, vocabulary_path, worker_cache
 
 FREQUENT_WORDS = 1 << 16  # bound of the broadcast table: 12 bytes a word
-SAMPLE_ROWS = 2000  # rows looked at for frequent words; they change speed, never a result
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 1 << 13  # what is looked at for frequent words; it changes speed, never a result
 
 
 class _Lengths(WordIds):
@@ -38,8 +38,8 @@ class _Lengths(WordIds):
 def _frequent(docs: DataFrame, text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and id counts of the most frequent words of a bounded sample."""
     cache, seen = _Lengths(path), {}
-    for row in docs.select(F.col(text).cast("string").alias("t")).limit(SAMPLE_ROWS).toLocalIterator():
-        data, offsets = utf8(pa.array([(row[0] or "")[: 1 << 20]]))
+    for row in docs.select(F.substring(text, 1, SAMPLE_CHARS)).take(SAMPLE_ROWS):  # reads the first partitions only
+        data, offsets = utf8(pa.array([row[0] or ""]))
         starts, ends, _ = words(data, offsets, IS_WORD)
         hashes = word_hashes(data, starts, ends)
         at = cache.find(hashes, data, starts, ends)
@@ -55,6 +55,7 @@ def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str | None = N
     Null and empty texts have 0 bytes and 0 tokens; rows are neither merged nor dropped, so repeated rows and tied
     ids each keep their own count; an empty table gives an empty table. Existing columns with the names in `out`
     are replaced. Nothing is shuffled. Memory a worker: the cache's bound plus a few times the longest text."""
+    small_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path(VOCABULARY)
     docs = docs.drop(*out)
     table_ = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text, path))
@@ -63,7 +64,7 @@ def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, lengths = table_.value
-        frequent, cache = HashTable(18), _Lengths(path)
+        frequent, cache = HashTable(18), worker_cache(path, _Lengths)
         frequent.add(keys, lengths)
         for batch in slices(batches, text):
             n_bytes, n = cache.batch_counts(batch.column(text), frequent)
