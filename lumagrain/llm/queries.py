@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op1_decontamination
 from .lm_scoring import op3_lm_scoring
 from .near_dedup import op8_near_dedup
+from .oracles import SQL
 from .packing import op2_packing
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op10_quality_rules
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
