@@ -35,8 +35,10 @@ def debounced(changes: DataFrame, key: str | None = None, quiet: str = QUIET) ->
 
 
 def session_bursts(changes: DataFrame, watermark: str = "1 minute", quiet: str = QUIET) -> DataFrame:
-    """Streaming: bursts by event time, closed when the watermark passes; for replay of recorded streams."""
-    return changes.withWatermark("ts", watermark).groupBy(F.session_window("ts", quiet).alias("s")).agg(F.flatten(F.collect_set("asset_ids")).alias("asset_ids"), F.max(F.col("kind") == "AccessMayHaveChanged").alias("access_may_have_changed"), F.count("*").alias("n")).select("s.start", "s.end", F.array_sort(F.array_distinct("asset_ids")).alias("asset_ids"), "access_may_have_changed", "n")
+    """Streaming: bursts by event time, closed when the watermark passes; for replay of recorded streams. Sessions
+    need a key beside the window; a library's changes all have the same."""
+    library = F.length("kind") < 0
+    return changes.withWatermark("ts", watermark).groupBy(F.session_window("ts", quiet).alias("s"), library).agg(F.flatten(F.collect_set("asset_ids")).alias("asset_ids"), F.max(F.col("kind") == "AccessMayHaveChanged").alias("access_may_have_changed"), F.count("*").alias("n")).select("s.start", "s.end", F.array_sort(F.array_distinct("asset_ids")).alias("asset_ids"), "access_may_have_changed", "n")
 
 
 def change_set(inserted: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
