@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumagrain.llm.common import stored, table
+from lumagrain.llm.common import table
+from lumagrain.storage import stored
 from lumagrain.llm.decontamination import decontaminate
 from lumagrain.llm.near_dedup import near_duplicates
 from lumagrain.llm.packing import pack

@@ -6,8 +6,6 @@ but the ones it is given, so extra columns of any name pass by untouched.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 pa.set_memory_pool(pa.system_memory_pool())  # gives memory back, as workers outlive their tasks
 
+
 U64 = np.uint64
 ARROW_ROWS = 1024  # rows of an Arrow batch: texts are long, and several batches are under way at once
 _BASE = 0x9E3779B97F4A7C15
@@ -183,32 +182,6 @@ class HashTable:
             slot[todo] = (slot[todo] + 1) & self.mask
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else None
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lumagrain-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame's rows as a reliable checkpoint on shared storage, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The frame written as Parquet to shared storage and read again: computed once, its lineage cut."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumagrain-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keeps the session's Arrow batches at ARROW_ROWS rows, or fewer where it has set fewer."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -221,14 +194,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions_for(df: DataFrame, text: str, each: int, least: int = 1) -> int:
-    """How many parts hold the frame's text at about `each` bytes a part; reads only lengths."""
-    from pyspark.sql import functions as F
-
-    total = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    return max(least, -(-total // each))
-
-
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Runs of rows with equal key columns from batches that are sorted by these; holds one run at a time."""
     held: list[pa.RecordBatch] = []

@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, LOWER, U64, mix, prefix, range_hash, slices, small_batches, sorted_groups, stored, table, utf8, word_hashes, words
-from .components import components
+from lumagrain.operators.graph import components
+from lumagrain.storage import stored
+
+from .common import IS_WORD, LOWER, U64, mix, prefix, range_hash, slices, small_batches, sorted_groups, table, utf8, word_hashes, words
 from .winnow import Filter, passing, row_keyed
 
 SHINGLE, SIMILARITY = 5, 0.8

@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, LOWER, U64, mix, prefix, range_hash, slices, small_batches, stored, sums, table, utf8, word_hashes, words
+from lumagrain.storage import stored
+
+from .common import IS_WORD, LOWER, U64, mix, prefix, range_hash, slices, small_batches, sums, table, utf8, word_hashes, words
 
 BUCKETS = 1 << 17
 GRAMS = 2

@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, powers, range_hash, slices, small_batches, stored
+from lumagrain.storage import stored
+
+from .common import U64, mix, powers, range_hash, slices, small_batches
 
 BLOOM_BITS = 1 << 26  # 8 MB at any size of the input: a full filter costs time, never results
 BLOOM_PARTS = 64

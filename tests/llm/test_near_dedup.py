@@ -6,7 +6,7 @@ import pytest
 from fixtures_llm import frame, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from lumagrain.llm import components, near_dedup
+from lumagrain.llm import near_dedup
 from pyspark.sql import functions as F
 
 
@@ -113,8 +113,3 @@ def test_sketches_depend_on_order():
     both = [sorted(set(h[at[k] : at[k + 1]].tolist())) for k in (0, 1)]
     assert len(set(both[0]) & set(both[1])) == 52 and 0 < np.sum(s[0] != s[1])
 
-
-def test_components_of_chains(spark):
-    links = [(k, k + 1) for k in range(0, 50)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 190)]
-    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
-    assert {r["node"]: r["label"] for r in got} == {**{k: 0 for k in range(51)}, 100: 100, 101: 100, 200: 150, 150: 150, 190: 150}
