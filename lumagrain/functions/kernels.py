@@ -76,6 +76,38 @@ def decoded_size(width: int, height: int, most: int = 512) -> tuple[int, int]:
     return max(1, width * most // longest), max(1, height * most // longest)
 
 
+def bounded(frame: np.ndarray, most: int = 512, turned: int = 0) -> np.ndarray:
+    """The frame turned clockwise by a multiple of 90 degrees and averaged down so that no edge is over `most`."""
+    frame = np.rot90(frame, -(turned // 90) % 4)
+    h, w = frame.shape
+    to_w, to_h = decoded_size(w, h, most)
+    if (to_w, to_h) == (w, h):
+        return np.ascontiguousarray(frame)
+    return np.clip(np.floor(area_average(frame.astype(np.float64), to_h, to_w) + 0.5), 0, 255).astype(np.uint8)
+
+
+def bound_frames(frames: DataFrame, most: int = 512) -> DataFrame:
+    """Luma frames (asset_id, width, height, pixels) turned upright by their `orientation`, if they have that column,
+    and bounded. Frames that are no frames go by as they are, for the analysis to skip."""
+    turns = "orientation" in frames.columns
+    names = ["asset_id", "width", "height", "pixels"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turn = batch.column("orientation").to_pylist() if turns else [0] * batch.num_rows
+            out = []
+            for i, w, h, raw, t in zip(*(batch.column(c).to_pylist() for c in names), turn, strict=True):
+                if raw is not None and w and h and w > 0 and h > 0 and len(raw) == w * h:
+                    frame = bounded(np.frombuffer(raw, np.uint8).reshape(h, w), most, t or 0)
+                    h, w, raw = *frame.shape, frame.tobytes()
+                out.append((i, w, h, raw))
+            types = [pa.string(), pa.int32(), pa.int32(), pa.binary()]
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return frames.select(*names, *(["orientation"] if turns else [])).mapInArrow(run, "asset_id string, width int, height int, pixels binary")
+
+
 def analyze_frames(frames: DataFrame, id_column: str = "asset_id") -> DataFrame:
     """(asset_id, perceptual_hash, laplacian_variance, edge_density, local_texture_support, skip_stage) for luma frames.
 

@@ -326,6 +326,23 @@ def access_enumeration(spark: SparkSession, sf: str) -> DataFrame:
     return media.enumerate_android(rows).select("asset_id", "byte_count", "captured_at_ms", "content_signature")
 
 
+@query("""SELECT concat('ios-photo:', event_id) AS asset_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id * 1500 END AS captured_at_ms, event_id % 6 = 0 AS is_favorite, event_id % 4 = 1 AS is_edited,
+ concat('ios-v1|w=', 10 + event_id % 50, '|h=', 20 + event_id % 30, '|created=', CASE WHEN user_id % 5 = 0 THEN 'null' ELSE CAST(user_id * 1500 AS VARCHAR) END, '|modified=null|favorite=', CASE WHEN event_id % 6 = 0 THEN 'true' ELSE 'false' END, '|edited=', CASE WHEN event_id % 4 = 1 THEN 'true' ELSE 'false' END) AS content_signature FROM events""")
+def ios_enumeration(spark: SparkSession, sf: str) -> DataFrame:
+    e, u = F.col("event_id"), F.col("user_id")
+    rows = P.table(spark, sf, "events").select(
+        e.cast("string").alias("localIdentifier"), (F.lit(10) + e % 50).alias("width"), (F.lit(20) + e % 30).alias("height"), F.when(u % 5 != 0, u * 1.5).alias("createdSeconds"), F.lit(None).cast("double").alias("modifiedSeconds"),
+        (e % 6 == 0).alias("isFavorite"), F.when(e % 4 == 1, F.lit(True)).when(e % 4 == 2, F.lit(False)).alias("hasAdjustments"),
+    )
+    return media.enumerate_ios(rows).select("asset_id", "captured_at_ms", "is_favorite", "is_edited", "content_signature")
+
+
+@query(f"""WITH {P.DOCS_SQL}, {P.INDEX_SQL} SELECT asset_id, analyzer_version, perceptual_hash FROM stored WHERE source_signature = 'v1|103' AND analyzer_version = 1""")
+def reusable_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.stored_index(spark, sf).where("source_signature = 'v1|103' AND analyzer_version = 1")
+    return rows.orderBy("asset_id").select("asset_id", "analyzer_version", "perceptual_hash")
+
+
 @query("""WITH s AS (SELECT user_id, ts, event_id, event_type, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM s)
 SELECT user_id, CAST(burst AS BIGINT) AS burst, epoch_us(min(ts)) AS started_us, count(*) AS n, bool_or(event_type = 'error') AS access_may_have_changed,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,34 @@ def session_bursts(changes: DataFrame, watermark: str = "1 minute", quiet: str =
     return changes.withWatermark("ts", watermark).groupBy(F.session_window("ts", quiet).alias("s"), library).agg(F.flatten(F.collect_set("asset_ids")).alias("asset_ids"), F.max(F.col("kind") == "AccessMayHaveChanged").alias("access_may_have_changed"), F.count("*").alias("n")).select("s.start", "s.end", F.array_sort(F.array_distinct("asset_ids")).alias("asset_ids"), "access_may_have_changed", "n")
 
 
+PENDING = "library string, asset_ids array<string>, access_may_have_changed boolean, n long"
+
+
+def quiet_bursts(changes: DataFrame, key: str = "library", quiet_ms: int = 300) -> DataFrame:
+    """Streaming by arrival: one pending change (library, asset_ids, access_may_have_changed, n) for each key once no
+    change has arrived for the quiet period. State holds the united ids, the coarse signal and a count; each arrival
+    sets the timer anew."""
+
+    def follow(keys, batches, state):
+        ids, coarse, n = state.get if state.exists else ([], False, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"library": [keys[0]], "asset_ids": [list(ids)], "access_may_have_changed": [bool(coarse)], "n": [int(n)]})
+            return
+        united = set(ids)
+        for part in batches:
+            for more in part["asset_ids"]:
+                united.update(more if more is not None else ())
+            coarse = bool(coarse) or bool((part["kind"] == "AccessMayHaveChanged").any())
+            n += len(part)
+        state.update((sorted(united), coarse, n))
+        state.setTimeoutDuration(quiet_ms)
+        yield pd.DataFrame({"library": [], "asset_ids": [], "access_may_have_changed": [], "n": []})
+
+    keyed = changes.select(F.col(key).cast("string").alias("library"), "kind", "asset_ids")
+    return keyed.groupBy("library").applyInPandasWithState(follow, PENDING, "asset_ids array<string>, coarse boolean, n long", "append", "ProcessingTimeTimeout")
+
+
 def change_set(inserted: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
     """One change row of the united ids; with no ids it is the coarse signal."""
     ids = inserted.select("asset_id").union(changed.select("asset_id")).union(removed.select("asset_id")).distinct()

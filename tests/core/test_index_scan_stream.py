@@ -178,3 +178,24 @@ def test_streamed_sessions(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r["asset_ids"] for r in spark.sql("SELECT * FROM bursts ORDER BY start").collect()] == [["a", "b"], ["c"]] and time and F and OPEN
+
+
+def test_quiet_bursts(spark, tmp_path):
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    line = lambda kind, *i: json.dumps({"ts": "2026-01-01T00:00:00Z", "kind": kind, "asset_ids": list(i)}) + "\n"
+    (feed / "1.json").write_text(line("Changed", "b") + line("Changed", "a", "b"))
+    stream = c.read_changes(spark, str(feed)).withColumn("library", F.lit("l"))
+    query = c.quiet_bursts(stream).writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="200 milliseconds").start()
+    def wait(n):
+        until = time.time() + 40
+        while time.time() < until and sum(r["n"] for r in spark.sql("SELECT n FROM quiet").collect()) < n:
+            time.sleep(0.3)
+
+    wait(2)
+    (feed / "2.json").write_text(line("AccessMayHaveChanged"))
+    wait(3)
+    query.stop()
+    rows = spark.sql("SELECT * FROM quiet").collect()
+    assert sum(r["n"] for r in rows) == 3 and any(r["access_may_have_changed"] for r in rows)
+    assert sorted({i for r in rows for i in r["asset_ids"]}) == ["a", "b"]

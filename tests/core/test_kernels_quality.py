@@ -68,3 +68,10 @@ def test_hard_negatives_are_near_the_threshold(corpus):
     for a, b in corpus["hard_negative"].collect():
         away = ((rows[a]["perceptual_hash"] ^ rows[b]["perceptual_hash"]) & (1 << 64) - 1).bit_count()
         assert 8 <= away <= 30
+
+
+def test_frames_are_bounded_and_turned(spark):
+    g = gradient(1024, 256, 255)
+    rows = [("a", 1024, 256, bytearray(g.tobytes()), 90), ("b", 2, 1, bytearray([1, 2]), 180), ("c", 3, 3, bytearray(2), 0), ("d", None, 1, None, None)]
+    got = {r["asset_id"]: r for r in k.bound_frames(spark.createDataFrame(rows, "asset_id string, width int, height int, pixels binary, orientation int")).collect()}
+    assert (got["a"]["width"], got["a"]["height"]) == (128, 512) and bytes(got["b"]["pixels"]) == bytes([2, 1]) and len(got["c"]["pixels"]) == 2 and got["d"]["pixels"] is None
