@@ -6,7 +6,9 @@ but the ones it is given, so extra columns of any name pass by untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 pa.set_memory_pool(pa.system_memory_pool())  # gives memory back, as workers outlive their tasks
+try:
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: arrays beyond it go back to the system when they are freed
+    _libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+except (OSError, AttributeError):  # another C library
+    _libc = None
 
 
 U64 = np.uint64
@@ -182,6 +190,56 @@ class HashTable:
             slot[todo] = (slot[todo] + 1) & self.mask
 
 
+_worker: dict[str, object] = {}
+
+
+def worker_held(name: str, make: Callable[[], object]) -> object:
+    """What this worker process holds by this name beyond a task; made if it isn't there."""
+    if name not in _worker:
+        _worker[name] = make()
+    return _worker[name]
+
+
+def begin_task(keep: str) -> None:
+    for name in [n for n in _worker if not keep or not n.startswith(keep)]:
+        del _worker[name]
+
+
+def end_task() -> None:
+    if _libc is not None and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def lean(run: Callable, keep: str = "") -> Callable:
+    """A function for mapInArrow that first drops what other operators' tasks left in the worker (all but names that
+    begin with `keep`) and at its end gives freed memory back to the system."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(keep)
+        try:
+            yield from run(batches)
+        finally:
+            end_task()
+
+    return task
+
+
+def shielded(*reserved: str) -> Callable:
+    """For an operator that uses these column names inside: the input's own columns of these names go by others while
+    it works, and come back with the result."""
+
+    def wrap(operator: Callable) -> Callable:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **more) -> DataFrame:
+            taken = {c: f"_own_{k}_{c}" for k, c in enumerate(docs.columns) if c.lower() in reserved}
+            out = operator(docs.withColumnsRenamed(taken), *args, **more)
+            return out.withColumnsRenamed({v: c for c, v in taken.items()})
+
+        return run
+
+    return wrap
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps the session's Arrow batches at ARROW_ROWS rows, or fewer where it has set fewer."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_ALNUM, LOWER, HashTable, slices, small_batches, sums, table, utf8, word_hashes, words
+from .common import IS_ALNUM, LOWER, HashTable, lean, slices, small_batches, sums, table, utf8, word_hashes, words
 
 WINDOW = 13
 SHARD_BYTES = 2 << 20
@@ -237,7 +237,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                 new = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds.types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new], names=[*names, *kinds.names])
 
-        out = out.mapInArrow(run, f"{fields}, {TYPES}" if fields else TYPES)
+        out = out.mapInArrow(lean(run), f"{fields}, {TYPES}" if fields else TYPES)
         added = ADDED
     return out
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lumagrain.operators.graph import components
 from lumagrain.storage import stored
 
-from .common import IS_WORD, LOWER, U64, mix, prefix, range_hash, slices, small_batches, sorted_groups, table, utf8, word_hashes, words
+from .common import IS_WORD, LOWER, U64, lean, mix, prefix, range_hash, shielded, slices, small_batches, sorted_groups, table, utf8, word_hashes, words
 from .winnow import Filter, passing, row_keyed
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -169,7 +169,7 @@ def _links(members: DataFrame, texts: DataFrame, text: str, similarity: float) -
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=names)
 
-    return stored(dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names)))
+    return stored(dealt.mapInArrow(lean(run), ", ".join(f"{c} long" for c in names)))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
@@ -190,7 +190,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
             pick = pa.array(has)
             yield pa.RecordBatch.from_arrays([batch.column("_rid").take(pick), batch.column("_sub").take(pick), pa.array(whole[has].view(np.int64)), pa.array(other[has].view(np.int64)), *(pa.array(values[:, k]) for k in range(SKETCHES))], names=["_rid", "_sub", "whole", "other", *names])
 
-    sketched = stored(keyed.mapInArrow(sketch, ", ".join(f"{c} long" for c in ["_rid", "_sub", "whole", "other", *names])))
+    sketched = stored(keyed.mapInArrow(lean(sketch), ", ".join(f"{c} long" for c in ["_rid", "_sub", "whole", "other", *names])))
     content = ["whole", "other"]
     reps = sketched.groupBy(*content).agg(F.min(F.struct("_rid", "_sub")).alias("r"), *(F.min(c).alias(c) for c in names))
     reps = stored(reps.select(*content, "r._rid", "r._sub", *names))
@@ -222,6 +222,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     return sketched.select("_rid", "_sub", *content).join(of_text, content).select("_rid", "_sub", "class_rid", "class_sub")
 
 
+@shielded("_rid", "_sub", "class_rid", "class_sub")
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """Adds class_id (the least key of the document's class) and is_first (the document is that one) to each
     document; all rows and other columns stay, columns with these names are replaced.

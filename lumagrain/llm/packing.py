@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table
+from .common import lean, slices, small_batches, table
 from .tokens import VOCABULARY, vocabulary_path, worker_cache
 
 WINDOW = 2048
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
             yield from flush()
 
     schema = f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(lean(run, "ids:"), schema)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

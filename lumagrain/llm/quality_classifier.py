@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumagrain.storage import stored
 
-from .common import IS_WORD, LOWER, U64, mix, prefix, range_hash, slices, small_batches, sums, table, utf8, word_hashes, words
+from .common import IS_WORD, LOWER, U64, lean, mix, prefix, range_hash, shielded, slices, small_batches, sums, table, utf8, word_hashes, words
 
 BUCKETS = 1 << 17
 GRAMS = 2
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(good[seen])], names=["b", "raw", "good"])
 
     keyed = docs.select(F.col(key).cast("long").alias("_k"), *([text] if text != "_k" else []))
-    rows = keyed.mapInArrow(count, "b long, raw long, good long").groupBy("b").agg(F.sum("raw"), F.sum("good")).toPandas().to_numpy()
+    rows = keyed.mapInArrow(lean(count), "b long, raw long, good long").groupBy("b").agg(F.sum("raw"), F.sum("good")).toPandas().to_numpy()
     raw, goods = np.zeros(buckets), np.zeros(buckets)
     raw[rows[:, 0]], goods[rows[:, 0]] = rows[:, 1], rows[:, 2]
     p = (goods + SMOOTHING) / (goods.sum() + SMOOTHING * buckets)
@@ -124,7 +124,7 @@ def scored(docs: DataFrame, model: Ratio, key: str = "doc_id", text: str = "text
             label = pa.array(is_good.astype(np.int32), mask=~(is_good | is_other))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n), pa.array(total / UNIT), pa.array(weight), pa.array(noisy), pa.array((tie >> U64(1)).astype(np.int64)), label], names=[*names, *added])
 
-    return docs.mapInArrow(run, f"{fields}, n_grams long, log_ratio double, _weight long, _noisy long, _tie long, _label int")
+    return docs.mapInArrow(lean(run), f"{fields}, n_grams long, log_ratio double, _weight long, _noisy long, _tie long, _label int")
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> int:
@@ -161,6 +161,7 @@ def kth_largest(values: DataFrame, column: str, k: int) -> tuple[int, int] | Non
             return low, above
 
 
+@shielded("_k", "_weight", "_noisy", "_tie", "_label")
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: float | None = None, seed: int = 0, **more) -> DataFrame:
     """Adds n_grams, log_ratio, gumbel_key and kept to each document; all rows and other columns stay, columns with
     these names are replaced. Kept are the top k of the noisy weights.

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shielded, table
 
 SPACE = " \t\n\x0b\f\r"
 SPACE_RUN = r"[ \t\n\x0B\f\r]+"
@@ -132,6 +132,7 @@ def cascade(docs: DataFrame, checks: dict[str, Column], order: list[str], out: s
     return docs.withColumn(out, first)
 
 
+@shielded("_w")
 def judge(docs: DataFrame, text: str = "text", checks: dict[str, Column] | None = None) -> DataFrame:
     """Adds the counts, base_failed, rejected_by and kept to whole documents; every row stays, and extra columns too
     (those with the names of added columns are replaced).

@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, prefix, slices, spread, table, utf8, word_hashes, words
+from .common import IS_WORD, lean, prefix, shielded, slices, spread, table, utf8, word_hashes, words
 from .fm_index import FmIndex
-from .winnow import Elements, Fragment, covered, fragments, judged, removal_spans, row_keyed, with_spans
+from .winnow import Elements, Fragment, covered, first_of, fragments, judged, removal_spans, row_keyed, with_spans
 
 WINDOW, GRAM = 20, 5
+INNER = ("_rid", "_sub", "_spans", "_own")
 SHARD_BYTES, HOT_BYTES = 2 << 20, 4 << 20
 
 
@@ -74,6 +75,7 @@ def repeats(found: list[Fragment], window: int = WINDOW) -> list[list[int]]:
     return out
 
 
+@shielded("_rid", "_sub", "_spans", "_own")
 def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Adds n_words, n_removed and kept (the remaining words joined by one space) to each document; all rows and
     other columns stay, columns with these names are replaced.
@@ -92,12 +94,12 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     later = lambda met: F.struct("_rid", "_sub", "pos") != F.col("first")
     results = judged(shard_rows, lambda found: repeats(found, window), word_elements, window, later, shard_bytes, hot_bytes)
     spans = removal_spans(members, results, window, later_whole=True)
-    joined = with_spans(keyed, spans)
-    names = [c for c in joined.columns if c != "_spans"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "_spans")
+    joined, known = with_spans(keyed, spans)
+    names = [c for c in joined.columns if c not in INNER]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in INNER)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(first_of(batches, known), text):
             data, offsets = utf8(batch.column(text))
             starts, ends, of = words(data, offsets, IS_WORD)
             stay = ~covered(batch.column("_spans"), of, len(starts))
@@ -117,7 +119,7 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             n = np.diff(of)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n), pa.array(n - np.diff(counts)), kept], names=[*names, *added])
 
-    return joined.mapInArrow(apply, f"{fields}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(lean(apply), f"{fields}, n_words long, n_removed long, kept string")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

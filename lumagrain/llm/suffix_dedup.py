@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, prefix, slices, table, utf8
+from .common import U64, lean, prefix, shielded, slices, table, utf8
 from .induced_sorting import permuted_common_prefixes, suffix_array
-from .winnow import Elements, Fragment, covered, fragments, joined_ranges, judged, removal_spans, row_keyed, with_spans
+from .winnow import Elements, Fragment, covered, first_of, fragments, joined_ranges, judged, removal_spans, row_keyed, with_spans
 
 LENGTH, GRAM = 400, 40
+INNER = ("_rid", "_sub", "_spans", "_own")
 SHARD_BYTES, HOT_BYTES = 2 << 20, 4 << 20
 END = 0xFF  # no UTF-8 byte
 
@@ -52,6 +53,7 @@ def repeats(found: list[Fragment], length: int = LENGTH) -> list[list[int]]:
     return out
 
 
+@shielded("_rid", "_sub", "_spans", "_own")
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes, binary: a cut may fall
     inside a character) to each document; all rows and other columns stay, columns with these names are replaced.
@@ -68,12 +70,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     members, shard_rows = fragments(keyed.select("_rid", "_sub", text), text, byte_elements, length, gram)
     results = judged(shard_rows, lambda found: repeats(found, length), byte_elements, length, lambda met: met["copies"] > 1, shard_bytes, hot_bytes)
     spans = removal_spans(members, results, length, later_whole=False)
-    joined = with_spans(keyed, spans)
-    names = [c for c in joined.columns if c != "_spans"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "_spans")
+    joined, known = with_spans(keyed, spans)
+    names = [c for c in joined.columns if c not in INNER]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in INNER)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(first_of(batches, known), text):
             data, offsets = utf8(batch.column(text))
             gone = covered(batch.column("_spans"), offsets, len(data))
             left = np.append(0, np.cumsum(~gone))[offsets]
@@ -86,7 +88,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             kept = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(left), pa.py_buffer(data[~gone].tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n), pa.array(n - np.diff(left)), pa.array(n_spans), kept], names=[*names, *added])
 
-    return joined.mapInArrow(apply, f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(lean(apply), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

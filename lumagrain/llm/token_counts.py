@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, HashTable, slices, small_batches, sums, table, utf8, word_hashes, words
+from .common import IS_WORD, HashTable, lean, slices, small_batches, sums, table, utf8, word_hashes, words
 from .tokens import VOCABULARY, WordIds, vocabulary_path, worker_cache
 
 FREQUENT_WORDS = 1 << 16  # bound of the broadcast table: 12 bytes a word
@@ -70,7 +70,7 @@ def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str | None = N
             n_bytes, n = cache.batch_counts(batch.column(text), frequent)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_bytes, pa.int64()), pa.array(n, pa.int64())], names=[*names, *out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, "ids:"), schema)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:

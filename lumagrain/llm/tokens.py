@@ -10,7 +10,7 @@ import os
 
 import numpy as np
 
-from .common import IS_WORD, HashTable, spread, utf8, word_hashes, words
+from .common import IS_WORD, HashTable, spread, utf8, word_hashes, words, worker_held
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -105,12 +105,6 @@ class WordIds:
         return self.ids[spread(self.starts[at], self.lengths[at])]
 
 
-_held: dict[tuple, WordIds] = {}
-
-
 def worker_cache(path: str, kind: type = WordIds) -> WordIds:
     """This worker process's cache, which outlives a task: the next task of the worker goes on with it."""
-    if (path, kind) not in _held:
-        _held.clear()
-        _held[path, kind] = kind(path)
-    return _held[path, kind]
+    return worker_held(f"ids:{path}:{kind.__name__}", lambda: kind(path))

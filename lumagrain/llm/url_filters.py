@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumagrain.storage import checkpointed
 
-from .common import table
+from .common import shielded, table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 MOST_RULES = 1000  # they become one expression
@@ -68,6 +68,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: flo
     return received
 
 
+@shielded("_says", "_bad")
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html", rounds: int = 10, threshold: float = 1e-6) -> DataFrame:
     """Adds host, path, rule and verdict (allow or block) to each page; every row stays, and columns with these names
     are replaced.

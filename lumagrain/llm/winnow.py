@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lumagrain.storage import stored
 
-from .common import U64, mix, powers, range_hash, slices, small_batches
+from .common import U64, lean, mix, powers, range_hash, slices, small_batches
 
 BLOOM_BITS = 1 << 26  # 8 MB at any size of the input: a full filter costs time, never results
 BLOOM_PARTS = 64
@@ -140,9 +140,9 @@ class Filter:
             for p, held in bits.items():
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["part", "bits"])
 
-        keys = rows.select(names).mapInArrow(keyed, "key long").repartition(F.shiftrightunsigned("key", 58))
+        keys = rows.select(names).mapInArrow(lean(keyed), "key long").repartition(F.shiftrightunsigned("key", 58))
         held = np.zeros(BLOOM_BITS // 8, np.uint8)
-        for row in keys.mapInArrow(build, "part int, bits binary").collect():  # 8 MB at any size
+        for row in keys.mapInArrow(lean(build), "part int, bits binary").collect():  # 8 MB at any size
             at = row["part"] * (BLOOM_BITS // BLOOM_PARTS // 8)
             held[at : at + len(row["bits"])] |= np.frombuffer(row["bits"], np.uint8)
         self.shared = rows.sparkSession.sparkContext.broadcast(held)
@@ -184,7 +184,7 @@ def fragments(docs: DataFrame, text: str, elements: Callable, window: int, gram:
             n = n + np.bincount(back, found.twice, len(least)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(n)], names=["least", "n"])
 
-    counted = docs.select(text).mapInArrow(count, "least long, n long").groupBy("least").agg(F.sum("n").alias("n")).where("n > 1").select("least")
+    counted = docs.select(text).mapInArrow(lean(count), "least long, n long").groupBy("least").agg(F.sum("n").alias("n")).where("n > 1").select("least")
     recurrent = Filter(counted)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def fragments(docs: DataFrame, text: str, elements: Callable, window: int, gram:
             )
 
     keyed = docs.select("_rid", "_sub", text)
-    members = stored(keyed.mapInArrow(write, "_rid long, _sub long, least long, content long, start int, n int, twice boolean"))
+    members = stored(keyed.mapInArrow(lean(write), "_rid long, _sub long, least long, content long, start int, n int, twice boolean"))
     kinds = ["least", "content"]
     counts = members.groupBy(*kinds).agg(F.count("*").alias("copies"), F.min(F.struct("_rid", "_sub", "start")).alias("f"), F.max("n").alias("n"), F.max(F.col("twice").cast("int")).alias("twice"))
     counts = counts.select(*kinds, "copies", "f._rid", "f._sub", "f.start", "n", "twice")
@@ -220,7 +220,7 @@ def fragments(docs: DataFrame, text: str, elements: Callable, window: int, gram:
             texts = [e.text(a, b + window - 1) for a, b in zip(found.start[keep].tolist(), found.end[keep].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(found.least[keep].view(np.int64)), pa.array(found.content[keep].view(np.int64)), pa.array(texts, pa.binary())], names=[*kinds, "text"])
 
-    shipped = keyed.mapInArrow(ship, "least long, content long, text binary")
+    shipped = keyed.mapInArrow(lean(ship), "least long, content long, text binary")
     texts = shipped.select(*kinds, F.lit(0).cast("long").alias("copies"), *(F.lit(0).cast(t).alias(c) for c, t in (("_rid", "long"), ("_sub", "long"), ("start", "int"), ("n", "int"), ("twice", "int"))), "text")
     both = counts.withColumn("text", F.lit(None).cast("binary")).unionByName(texts)
     return members, both.repartition("least").sortWithinPartitions("least", "content", F.desc("copies"))
@@ -300,7 +300,7 @@ def hot_windows(hot: DataFrame, elements: Callable, window: int) -> DataFrame:
             whole = range_hash(e.prefix, at, at + window)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(back) for c in ("least", "content", "copies", "_rid", "_sub")), pa.array(batch.column("start").to_numpy()[doc].astype(np.int64) + w), pa.array(w.astype(np.int32)), pa.array(whole.view(np.int64))], names=["least", "content", "copies", "_rid", "_sub", "pos", "w", "hash"])
 
-    rows = hot.mapInArrow(explode, "least long, content long, copies long, _rid long, _sub long, pos long, w int, hash long")
+    rows = hot.mapInArrow(lean(explode), "least long, content long, copies long, _rid long, _sub long, pos long, w int, hash long")
     met = rows.groupBy("hash", "least").agg(F.sum("copies").alias("total"), F.min(F.struct("_rid", "_sub", "pos")).alias("first"))
     return rows.drop("copies").join(met, ["hash", "least"]).withColumnRenamed("total", "copies")
 
@@ -333,7 +333,7 @@ def judged(shard_rows: DataFrame, judge: Callable[[list[Fragment]], list[list[in
             for a in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[a : a + 2000], strict=True), types, strict=True)], names=names)
 
-    out = stored(shard_rows.mapInArrow(run, HOT))
+    out = stored(shard_rows.mapInArrow(lean(run), HOT))
     settled = out.where("windows IS NOT NULL").drop("text", "n")
     hot = out.where("windows IS NULL")
     if hot.isEmpty():
@@ -379,13 +379,20 @@ def passing(keyed: DataFrame, known: Filter, want: bool = True) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(known.passes(batch.column("_rid").to_numpy(), batch.column("_sub").to_numpy()) == want))
 
-    return keyed.mapInArrow(run, fields)
+    return keyed.mapInArrow(lean(run), fields)
 
 
-def with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:
-    """The documents with _spans (null if they have none), without row keys. Documents that surely have none are told
-    by a filter and not shuffled."""
+def with_spans(keyed: DataFrame, spans: DataFrame) -> tuple[DataFrame, Filter]:
+    """(rows, filter): the documents that may have spans, joined with them (_own false), and all documents again
+    without (_own true); `first_of` keeps one row of each, so the many without spans are never shuffled."""
     spans = stored(spans)
     known = Filter(spans.select("_rid", "_sub"))
-    joined = passing(keyed, known).join(spans, ["_rid", "_sub"], "left")
-    return joined.unionByName(passing(keyed, known, False).withColumn("_spans", F.lit(None).cast("array<int>"))).drop("_rid", "_sub")
+    joined = passing(keyed, known).join(spans, ["_rid", "_sub"], "left").withColumn("_own", F.lit(False))
+    return joined.unionByName(keyed.withColumns({"_spans": F.lit(None).cast("array<int>"), "_own": F.lit(True)})), known
+
+
+def first_of(batches: Iterator[pa.RecordBatch], known: Filter) -> Iterator[pa.RecordBatch]:
+    """Each document once: as joined if it may have spans, else as it came."""
+    for batch in batches:
+        may = known.passes(batch.column("_rid").to_numpy(), batch.column("_sub").to_numpy())
+        yield batch.filter(pa.array(may != batch.column("_own").to_numpy(zero_copy_only=False)))
