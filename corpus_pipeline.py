@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumagrain.llm.common import table
 from lumagrain.storage import stored
 from lumagrain.llm.decontamination import decontaminate
-from lumagrain.llm.near_dedup import near_duplicates
+from lumagrain.llm.near_dedup import without_near_duplicates
 from lumagrain.llm.packing import pack
 from lumagrain.llm.quality_classifier import resample
 from lumagrain.llm.substring_dedup import remove_passages
@@ -26,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_duplicates(docs).where("is_first").select(COLUMNS)
+    return without_near_duplicates(docs).select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -240,5 +240,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return joined.select(*names, class_id.alias("class_id"), first.alias("is_first"))
 
 
+@shielded("_rid", "_sub", "class_rid", "class_sub")
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+    """The documents that are the first of their class, as near_duplicates says, with the same columns. A filter tells
+    most documents that stay, so only those that may go are shuffled."""
+    small_batches(docs.sparkSession)
+    keyed = row_keyed(docs, key)
+    found = classes(keyed, key, text, similarity, group)
+    later = stored(found.where("class_rid <> _rid OR class_sub <> _sub").select("_rid", "_sub"))
+    known = Filter(later)
+    kept = passing(keyed, known, False).unionByName(passing(keyed, known).join(later, ["_rid", "_sub"], "left_anti"))
+    return kept.select(docs.columns)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "is_first")

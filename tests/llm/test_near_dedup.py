@@ -92,7 +92,15 @@ def test_repeated_and_null_keys(spark):
     assert sorted((str(r["doc_id"]), str(r["class_id"]), r["is_first"]) for r in rows) == [("5", "5", True), ("5", "None", False), ("5", "None", False), ("8", "8", True), ("None", "None", True), ("None", "None", True)]
 
 
+def test_first_documents_keep_their_columns(spark, texts):
+    docs = frame(spark, texts).withColumn("class_id", F.lit("mine"))
+    kept = near_dedup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute(texts)))
+
+
 def test_empty(spark):
+    assert near_dedup.without_near_duplicates(frame(spark, ["a"]).where("false")).collect() == []
     assert near_dedup.near_duplicates(frame(spark, ["a"]).where("false")).collect() == []
 
 
