@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 pa.set_memory_pool(pa.system_memory_pool())  # gives memory back, as workers outlive their tasks
 try:
     _libc = ctypes.CDLL(None)
-    _libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD: arrays beyond it go back to the system when they are freed
-    _libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD: smaller ones are kept for the next, up to the task's end
+    _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: arrays beyond it go back to the system when they are freed
+    _libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD: smaller ones are kept for the next, up to the task's end
 except (OSError, AttributeError):  # another C library
     _libc = None
 
