@@ -23,7 +23,8 @@ from .winnow import Filter, passing, row_keyed
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, KEPT = 16, 3  # a pair at 0.8 shares one of 16 sketches of 3 with probability 1 - (1 - 0.8**3)**16 > 0.99998
-GROUP = 512  # documents of one sketch that are compared at once; larger groups are salted and their roots meet again
+GROUP = 512  # documents of one sketch that are compared at once; larger groups are salted, and rare shingles find what salts part
+ORDER = 1 << 18  # buckets whose counts order shingles from rare to frequent; any order gives the same links
 ROUNDS = 4
 BITS = 2048
 
@@ -122,20 +123,21 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return least <= min(len(a), len(b)) and aligned(a, b, len(a) + len(b) - 2 * least) >= least
 
 
-def group_roots(h: np.ndarray, at: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The component (its first document) of each document of a group, by links between any two of them.
+def group_roots(h: np.ndarray, at: np.ndarray, similarity: float = SIMILARITY, known: np.ndarray | None = None, rows: np.ndarray | None = None) -> np.ndarray:
+    """The component (its first document) of each document of a group, by links between any two of them; or, from
+    the components known already, by links of `rows` to any others.
 
     Bitmaps bound how many shingles two documents can share, without missing any, and pairs that are linked already
     are not compared again; so a group of near copies takes one alignment a document."""
     n = len(at) - 1
-    root, size = np.arange(n), np.diff(at)
+    root, size = np.arange(n) if known is None else known.copy(), np.diff(at)
     bits = np.zeros((n, BITS), bool)
     bits[np.repeat(np.arange(n), size), (h % U64(BITS)).astype(np.int64)] = True
     packed = np.packbits(bits, axis=1).view(np.uint64)
     excess = size - bits.sum(1)
     least = np.ceil(similarity * (size[:, None] + size[None, :]) / (1 + similarity) - 1e-9) if n <= GROUP else None
-    for i in range(n - 1):
-        rest = np.arange(i + 1, n)
+    for i in range(n - 1) if rows is None else rows.tolist():
+        rest = np.arange(i + 1 if rows is None else 0, n)
         rest = rest[root[rest] != root[i]]
         if not len(rest):
             continue
@@ -172,13 +174,99 @@ def _links(members: DataFrame, texts: DataFrame, text: str, similarity: float) -
     return stored(dealt.mapInArrow(lean(run), ", ".join(f"{c} long" for c in names)))
 
 
+def _rare_first(hot: DataFrame, text: str, similarity: float) -> DataFrame:
+    """(_rid, _sub, firsts): of each document the shingles one of which any text that is similar enough must share.
+
+    Two texts at `similarity` share at least that part of either's labelled shingles, so in any one order of shingles
+    the first size - ceil(similarity * size) + 1 of both have one in common. Rare shingles come first, so texts that
+    only share a frequent passage seldom meet. Each task sums its buckets; the driver gets a row a bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(ORDER, np.int64)
+        for batch in slices(batches, text):
+            n += np.bincount((shingles(batch.column(text))[0] % U64(ORDER)).astype(np.int64), minlength=ORDER)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["b", "n"])
+
+    found = hot.mapInArrow(lean(count), "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(ORDER, np.int64)
+    often[found.column("b").to_numpy()] = found.column("n").to_numpy()
+    shared = hot.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in slices(batches, text):
+            h, at, _, _ = shingles(batch.column(text))
+            size = np.diff(at)
+            doc = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((h, often[(h % U64(ORDER)).astype(np.int64)], doc))
+            first = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+            pick = order[np.arange(len(h)) - at[:-1][doc] < first[doc]]
+            ends = np.append(0, np.cumsum(np.bincount(doc[pick], minlength=len(size)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("_rid"), batch.column("_sub"), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[pick].view(np.int64)))], names=["_rid", "_sub", "firsts"])
+
+    return hot.mapInArrow(lean(run), "_rid long, _sub long, firsts array<long>")
+
+
+def _links_across(large: DataFrame, links: DataFrame, texts: DataFrame, text: str, similarity: float, group: int) -> DataFrame:
+    """(_rid, _sub, a_rid, a_sub): the links between texts of large groups that are not in one component yet, all of
+    them; `large` is (key, _rid, _sub).
+
+    A group that is one component by now has none. Texts of different components that share a rare-first shingle are compared. A shingle's texts outside its largest
+    component are dealt in parts of `group` to rows, all of them to columns, and each row meets each column; the
+    largest component's own texts, most of a group of near copies, are not compared with each other."""
+    me = ["_rid", "_sub"]
+    labels = _labels(links)
+    held = stored(large.join(labels, me, "left").select("key", *me, F.struct(F.coalesce("l_rid", "_rid").alias("r"), F.coalesce("l_sub", "_sub").alias("s")).alias("c")))
+    split = held.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
+    hot = stored(held.join(split, "key").select(*me, "c").distinct())
+    firsts = _rare_first(passing(texts, Filter(hot.select(*me))), text, similarity).join(hot, me)
+    rare = stored(firsts.select(*me, "c", F.explode("firsts").alias("s")))
+    of = rare.groupBy("s").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most"), F.bit_xor(F.xxhash64(*me)).alias("set")).where("least <> most")
+    of = of.groupBy("n", "set").agg(F.min("s").alias("s"))
+    near = rare.join(of, "s")
+    sizes = near.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "c")).alias("top"))
+    near = stored(near.join(sizes, "s").select("s", *me, "c", "n", (F.col("n") - F.col("top.k")).alias("m"), (F.col("c") != F.col("top.c")).alias("minor")))
+    parts = lambda n: F.ceil(n / F.lit(group))
+    own = lambda n: F.pmod(F.xxhash64(*me), parts(F.col(n))).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (parts(F.col(n)) - 1).cast("long")))
+    columns = near.select("s", *me, "c", every("m").alias("i"), own("n").alias("j"), F.lit(False).alias("row"))
+    rows = near.where("minor").select("s", *me, "c", own("m").alias("i"), every("n").alias("j"), F.lit(True).alias("row"))
+    block = ["s", "i", "j"]
+    once = columns.unionByName(rows).groupBy(*block, *me).agg(F.first("c").alias("c"), F.max("row").alias("row"))
+    met = once.where("row").select(*block).distinct()  # a block without rows compares nothing
+    once = stored(once.join(met, block, "left_semi"))
+    joined = once.join(passing(texts, Filter(once.select(*me))), me).select(*block, *me, F.col("c.r").alias("c_rid"), F.col("c.s").alias("c_sub"), "row", text)
+    dealt = joined.repartition(*block).sortWithinPartitions(*block, *me)
+    names = ["_rid", "_sub", "a_rid", "a_sub"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in sorted_groups(batches, block):
+            h, at, _, _ = shingles(part.column(text))
+            label = np.stack([part.column(c).to_numpy() for c in ("c_rid", "c_sub")], 1)
+            _, first, back = np.unique(label, axis=0, return_index=True, return_inverse=True)
+            known = first[back.ravel()]
+            root = group_roots(h, at, similarity, known, np.flatnonzero(part.column("row").to_numpy(zero_copy_only=False)))
+            new = np.flatnonzero(root != known)
+            rid, sub = part.column("_rid").to_numpy(), part.column("_sub").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[new], sub[new], rid[root[new]], sub[root[new]])], names=names)
+
+    return stored(dealt.mapInArrow(lean(run), ", ".join(f"{c} long" for c in names)))
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(_rid, _sub, l_rid, l_sub): the least document of each linked document's component."""
+    labels = components(links.select(F.struct("_rid", "_sub").alias("a"), F.struct(F.col("a_rid").alias("_rid"), F.col("a_sub").alias("_sub")).alias("b")))
+    return labels.select(F.col("node._rid").alias("_rid"), F.col("node._sub").alias("_sub"), F.col("label._rid").alias("l_rid"), F.col("label._sub").alias("l_sub"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """(_rid, _sub, class_rid, class_sub) for each document: row keys (see row_keyed) and the least of its class.
 
     Equal word sequences are one text from the start, whatever their number. Texts without words, null ones too, are
     classes of their own. For each sketch value, only the texts that share it meet; values with the same set of texts
-    meet once. Groups of over `group` texts are salted; the roots of their parts meet again, up to ROUNDS times: parts
-    of near copies have few roots, and texts that only share a frequent passage have their other sketches."""
+    meet once. Groups of over `group` texts are salted, and the roots of their parts meet again, up to ROUNDS times,
+    which links most near copies cheaply; then _links_across finds all links that are left among their texts."""
     keyed = docs.select("_rid", "_sub", text)
     names = [f"s{k}" for k in range(SKETCHES)]
 
@@ -216,8 +304,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     every = links[0]
     for more in links[1:]:
         every = every.union(more)
-    labels = components(every.select(F.struct("_rid", "_sub").alias("a"), F.struct(F.col("a_rid").alias("_rid"), F.col("a_sub").alias("_sub")).alias("b")))
-    labels = labels.select(F.col("node._rid").alias("_rid"), F.col("node._sub").alias("_sub"), F.col("label._rid").alias("l_rid"), F.col("label._sub").alias("l_sub"))
+    large = stored(members.where(F.col("n") > group).select("key", "_rid", "_sub"))
+    if not large.isEmpty():
+        every = every.union(_links_across(large, every, texts, text, similarity, group))
+    labels = _labels(every)
     of_text = reps.select(*content, "_rid", "_sub").join(labels, ["_rid", "_sub"], "left").select(*content, F.coalesce("l_rid", "_rid").alias("class_rid"), F.coalesce("l_sub", "_sub").alias("class_sub"))
     return sketched.select("_rid", "_sub", *content).join(of_text, content).select("_rid", "_sub", "class_rid", "class_sub")
 

@@ -85,6 +85,17 @@ def test_a_large_group_of_near_copies(spark):
     assert {r["class_id"] for r in rows} == {0} and sum(r["is_first"] for r in rows) == 1
 
 
+def test_pairs_in_different_parts_of_a_large_group(spark):
+    passage, texts = prose(124, 900), []
+    for k in range(20):  # texts of one passage are not similar but for each pair, whose sketches are mostly the passage's
+        own = prose(17, 1000 + k).split()
+        texts += [passage + " " + " ".join(own), passage + " " + " ".join(own[:8]) + " " + prose(9, 2000 + k)]
+    want = brute(texts)
+    assert len(set(want)) == 20
+    rows = near_dedup.near_duplicates(frame(spark, texts), group=4).collect()
+    assert [r["class_id"] for r in sorted(rows, key=lambda r: r["doc_id"])] == want
+
+
 def test_repeated_and_null_keys(spark):
     a = prose(50, 2)
     docs = frame(spark, [a, a, prose(50, 3), a, None, None], ids=[5, 5, 5, None, None, 8]).coalesce(1)
