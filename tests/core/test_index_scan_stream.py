@@ -54,6 +54,23 @@ def test_history(spark, index):
     assert [(r["id"], r["completed_at_ms"]) for r in index.cleanup_history().collect()] == [(2, 9), (3, 5), (1, 5)]
 
 
+def test_history_is_numbered_in_many_tasks(spark):
+    from lumagrain.operators.index import append_history
+    from lumagrain.schema import HISTORY
+
+    blank = lambda at: (None, at, 1, 2, 3, 4)
+    times = [k * 7919 % 1000 for k in range(3000)] + [5] * 1000
+    old = spark.createDataFrame([(41, 10**6, 1, 2, 3, 4)], HISTORY)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = append_history(old, spark.createDataFrame([blank(t) for t in times], HISTORY).repartition(3))
+        rows = sorted((r["id"], r["completed_at_ms"]) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert rows == [(41, 10**6), *enumerate(sorted(times), 42)]
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_invalid_rows_are_refused(spark, index):
     for bad in (record("a", evidence=(float("nan"), 0.0, 0.0)), record("a", evidence=(1.0, 1.0, 2.0)), record("a", w=0), record(" "), record("a", bytes_=-1)):
         with pytest.raises(InvariantError):
