@@ -2,7 +2,8 @@
 
 Rules judge the urls they fit. For the others, trust is a personalised PageRank from hosts with allowed pages along
 the host graph, distrust one from hosts with blocked pages along the reversed graph; a host is blocked where the
-distrust it received through links is over the threshold and over the trust it received.
+distrust it received through links is over the threshold, which is a part of one blocked page's mass, and over the
+trust it received. The mass that seeds start with is no verdict on their own other pages; links alone give that.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: flo
 @shielded("_says", "_bad")
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html", rounds: int = 10, threshold: float = 1e-6) -> DataFrame:
     """Adds host, path, rule and verdict (allow or block) to each page; every row stays, and columns with these names
-    are replaced.
+    are replaced. `threshold` is a part of one blocked page's mass, so a verdict doesn't depend on the table's size.
 
     A null url, or one without ://, has an empty host and path, no rule, and is allowed. Null or empty html has no
     links. Repeated rows are judged alike and their links count each time. An empty table gives an empty one. The
@@ -89,8 +90,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url",
     seen = checkpointed(seen)
     trust = propagate(edges, seen.where("good > 0").select("host", F.col("good").cast("double").alias("weight")), rounds)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    pages_bad = float(seen.agg(F.sum("bad")).first()[0] or 0)  # propagated mass is 1 in all: a blocked page's is 1 / pages_bad
     distrust = propagate(back, seen.where("bad > 0").select("host", F.col("bad").cast("double").alias("weight")), rounds)
-    blocked = distrust.withColumnRenamed("received", "bad").join(trust.withColumnRenamed("received", "good"), "host", "left").where((F.col("bad") > threshold) & (F.col("bad") > F.coalesce("good", F.lit(0.0))))
+    blocked = distrust.withColumnRenamed("received", "bad").join(trust.withColumnRenamed("received", "good"), "host", "left").where((F.col("bad") * pages_bad > threshold) & (F.col("bad") > F.coalesce("good", F.lit(0.0))))
     marked = ruled.join(blocked.select("host", F.lit(True).alias("_bad")), "host", "left")
     return marked.withColumn("verdict", F.coalesce("_says", F.when(F.col("_bad"), F.lit("block")), F.lit("allow"))).drop("_says", "_bad")
 

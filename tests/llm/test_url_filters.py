@@ -75,6 +75,13 @@ def test_hosts_that_link_to_blocked_ones_are_distrusted(spark):
     assert {k: r["verdict"] for k, r in got.items()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "block"}
 
 
+def test_a_farm_is_blocked_among_many_blocked_pages(spark):
+    many = spark.range(200_001).selectExpr("id", "concat('http://h', id, '.com/en/1') AS url", "'' AS html")
+    farm = spark.createDataFrame([(-1, "http://farm.info/p", '<a href="//h5.com/">'), (-2, "http://lone.info/p", "")], "id long, url string, html string")
+    got = {r["id"]: r["verdict"] for r in u.judge_urls(many.union(farm), RULES).where("id < 0").collect()}
+    assert got == {-1: "block", -2: "allow"}
+
+
 def test_main_path_is_native(spark, tmp_path):
     spark.createDataFrame([(1, "http://a.com/x", "<p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     plan = u.op6_url_filters(spark, str(tmp_path))._jdf.queryExecution().toString()
