@@ -49,8 +49,8 @@ def grams(column, n: int = GRAMS, buckets: int = BUCKETS) -> list[tuple[np.ndarr
 
 @dataclass
 class Ratio:
-    """The log ratio of each bucket in whole units, and sorted ids of labelled good and other documents that the
-    model was not fitted on."""
+    """The log ratio of each bucket in whole units, and sorted ids of labelled target documents that the
+    model was not fitted on, and of the other labelled ones, toxic ones among them."""
 
     weights: np.ndarray
     good: np.ndarray
@@ -74,8 +74,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     small_batches(docs.sparkSession)
     good = F.coalesce(F.col("quality") == 1, F.lit(False)) if good is None else good
     target = good & (F.coalesce("toxic", F.lit(0)) == 0) if target is None else target
-    half = F.xxhash64(F.col(key).cast("long"), F.lit(1)) % 2 == 0  # of the labelled good; the others find the cut
-    model = Ratio(np.zeros(buckets, np.int64), labelled_ids(labels, key, good & ~(half & target), most), labelled_ids(labels, key, ~good, most))
+    target = F.coalesce(target, F.lit(False))
+    half = F.xxhash64(F.col(key).cast("long"), F.lit(1)) % 2 == 0  # of the target labels; the others find the cut
+    model = Ratio(np.zeros(buckets, np.int64), labelled_ids(labels, key, target & ~half, most), labelled_ids(labels, key, ~target, most))
     ids = docs.sparkSession.sparkContext.broadcast(labelled_ids(labels, key, half & target, most))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

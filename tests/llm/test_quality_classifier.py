@@ -79,3 +79,10 @@ def test_odd_rows(spark, corpus, odd_texts):
 def test_cut():
     w, g = np.array([5, 1, 2, 2, 9, 0]), np.array([True, False, False, True, True, False])
     assert q.best_cut(w, g) in (2, 5) and q.best_cut(w, np.zeros(6, bool)) == np.iinfo(np.int64).min
+
+
+def test_the_cut_does_not_defend_toxic_documents(spark):
+    texts = [" ".join(f"{'vile' if k % 3 == 0 else 'fair'}{(k * 7 + j * j) % 40}" for j in range(200)) for k in range(240)]
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(240)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in q.resample(frame(spark, texts), labels).where("kept").collect()}
+    assert kept == {k for k in range(240) if k % 3}
