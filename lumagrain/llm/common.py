@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import functools
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values times powers of the base: range hashes in constant time through range_hash."""
+    """Prefix sums of values times powers of the base, for range_key."""
     up, _ = powers(len(values))
     out = np.empty(len(values) + 1, U64)
     out[0] = 0
@@ -68,10 +69,42 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the ranges [start, end); equal contents have equal hashes wherever they stand."""
+def range_key(sums: np.ndarray, size: int) -> np.ndarray:
+    """Keys of all ranges of `size` values: equal contents have equal keys. Structured contents may share a key without
+    being equal, so keys only decide what meets, never what is equal; those are sequence_hash and byte_hash."""
     _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    h = sums[size:] - sums[:-size]
+    h *= down[: len(h)]
+    h ^= h >> U64(32)
+    h *= U64(0xD6E8FEB86659FD93)
+    h ^= h >> U64(29)
+    return h
+
+
+def byte_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic hash of the bytes of each range."""
+    raw = memoryview(np.ascontiguousarray(data))
+    each = b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(each, "<u8").astype(U64)
+
+
+def sequence_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of ranges of values: the sum of each value mixed with its place in the range, mixed with the size."""
+    size = end - start
+    where = spread(start, size)
+    heads = np.cumsum(size) - size
+    place = (np.arange(len(where)) - np.repeat(heads, size)).astype(U64)
+    each = mix(values[where] ^ mix(place * U64(0x9FB21C651E98DF25) + U64(2 * seed + 1)))
+    run = np.append(U64(0), np.cumsum(each))
+    return mix(run[heads + size] - run[heads] + size.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+
+
+def gram_hashes(values: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all n consecutive values, each mixed before the next comes in."""
+    h = values
+    for k in range(1, n):
+        h = mix(h[: len(values) - k] * U64(0x9E3779B97F4A7C15) + values[k:]) if len(values) > k else values[:0]
+    return h
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,11 +154,66 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+SHORT = 7  # bytes of words whose keys are exact
+LONG = 256  # bytes beyond which words are hashed one by one
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros behind the end, as one number."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words; never 0."""
-    h = range_hash(prefix(data.astype(U64) + U64(1)), starts, ends)
-    h[h == 0] = 1
-    return h
+    """64-bit keys of words; never 0. Words of up to SHORT bytes have keys of their own: their bytes and length, through
+    a bijection. Longer ones have keys that no short word has, of a hash into which eight bytes at a time are mixed; so
+    where equal keys decide, words of over SHORT bytes are compared (same_bytes)."""
+    block = eights(data)
+    size = ends - starts
+    h = block[starts] & _TAILS[np.minimum(size, 8)]
+    more = np.flatnonzero(size > SHORT)
+    h |= np.where(size > SHORT, 0, size).astype(U64) << U64(56)
+    if len(more):
+        s, at = size[more], starts[more]
+        x = mix(h[more] + s.astype(U64) * U64(0x9FB21C651E98DF25))
+        todo, k = np.flatnonzero(s > 8), 8
+        while len(todo) and k < LONG:
+            left = s[todo] - k
+            x[todo] = mix((x[todo] ^ (block[at[todo] + k] & _TAILS[np.minimum(left, 8)])) * U64(0xD6E8FEB86659FD93) + U64(k))
+            todo, k = todo[left > 8], k + 8
+        if len(todo):
+            x[todo] = byte_hash(data, at[todo], at[todo] + s[todo])
+        h[more] = x | U64(1 << 63)
+    return mix(h)
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which ranges of two byte arrays, of these sizes, are equal."""
+    out = np.ones(len(size), bool)
+    left, right = eights(a), eights(b)
+    todo, k = np.arange(len(size)), 0
+    while len(todo) and k < LONG:
+        rest = size[todo] - k
+        equal = ((left[a_at[todo] + k] ^ right[b_at[todo] + k]) & _TAILS[np.minimum(rest, 8)]) == 0
+        out[todo[~equal]] = False
+        todo, k = todo[equal & (rest > 8)], k + 8
+    for i in todo.tolist():
+        out[i] = np.array_equal(a[a_at[i] : a_at[i] + size[i]], b[b_at[i] : b_at[i] + size[i]])
+    return out
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers from 0 of words, equal for equal words only: words are compared, not their hashes."""
+    _, first, number = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    like = first[number]
+    long = np.flatnonzero((size > SHORT) & (like != np.arange(len(size))))
+    differ = long[(size[long] != size[like[long]]) | ~same_bytes(data, starts[long], data, starts[like[long]], np.minimum(size[long], size[like[long]]))]
+    if len(differ):  # words of one key: numbers of their own
+        more: dict[bytes, int] = {}
+        number[differ] = [len(first) + more.setdefault(data[starts[k] : ends[k]].tobytes(), len(more)) for k in differ.tolist()]
+    return number.astype(np.int32)
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

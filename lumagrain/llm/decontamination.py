@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_ALNUM, LOWER, HashTable, lean, slices, small_batches, sums, table, utf8, word_hashes, words
+from .common import IS_ALNUM, LOWER, SHORT, HashTable, lean, same_bytes, slices, small_batches, sums, table, utf8, word_hashes, word_numbers, words
 
 WINDOW = 13
 SHARD_BYTES = 2 << 20
@@ -26,21 +26,24 @@ ADDED = ("n_words", "n_hit", "items", "spans", "longest", "longest_item", "longe
 TYPES = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, longest long, longest_item string, longest_start long"
 
 
-def lowered(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of lower-cased texts, the offsets of texts in them, and the words' byte lengths."""
+def lowered(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, the starts and ends of words in them, and the offsets of texts among the words."""
     data, offsets = utf8(column)
     data = LOWER[data]
-    starts, ends, of = words(data, offsets, IS_ALNUM)
-    return word_hashes(data, starts, ends), of, ends - starts
+    return data, *words(data, offsets, IS_ALNUM)
 
 
 class TestSuffixes:
     """A block of benchmark items as sequences of vocabulary ids (from 1), and its distinct windows."""
 
     def __init__(self, ids: list[str], texts: list[str | None], window: int):
-        hashes, of, _ = lowered(pa.array(texts, pa.string()))
-        self.vocabulary, inverse = np.unique(hashes, return_inverse=True)
-        self.seq, self.ids = (inverse + 1).astype(np.int32), np.array(ids, object)
+        self.data, starts, ends, of = lowered(pa.array(texts, pa.large_string()))
+        hashes = word_hashes(self.data, starts, ends)
+        self.seq, self.ids = word_numbers(self.data, starts, ends) + 1, np.array(ids, object)
+        _, first = np.unique(self.seq, return_index=True)  # a place of each word of the vocabulary
+        self.vocabulary, self.at, self.bytes = hashes[first], starts[first], (ends - starts)[first]
+        if len(np.unique(self.vocabulary)) < len(first):
+            raise ValueError("two words of the benchmark have one key")
         n = np.diff(of)
         size = np.minimum(n, window)  # words of an item's windows
         starts = [np.arange(of[k], of[k + 1] - size[k] + 1) for k in range(len(n)) if n[k]]
@@ -59,6 +62,20 @@ class TestSuffixes:
         self.shortest = int(self.size.min()) if len(self.size) else 0
 
 
+def known_words(tests: TestSuffixes, known: HashTable, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The vocabulary id of each word, 0 for words that no item has. Words are compared, not only their keys."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    found = known.find(word_hashes(data, starts, ends)) + 1
+    size = ends - starts
+    long = np.flatnonzero((size > SHORT) & (found > 0))
+    like = found[long] - 1
+    same = tests.bytes[like] == size[long]
+    same[same] = same_bytes(data, starts[long[same]], tests.data, tests.at[like[same]], size[long[same]])
+    found[long[~same]] = 0
+    return found
+
+
 def suffix_array(ids: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Positions in the order of their suffixes ids[i:end[i]], by prefix doubling; equal suffixes by position."""
     n = len(ids)
@@ -112,11 +129,10 @@ def bound(tests: TestSuffixes, suffix: np.ndarray, depth: np.ndarray, ids: np.nd
     return lo
 
 
-def search(tests: TestSuffixes, known: HashTable, hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
-    """In one shard: (word start, word end, distinct window) of all occurrences, and of each matched test suffix
+def search(tests: TestSuffixes, raw: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """In one shard of words by vocabulary ids: (word start, word end, distinct window) of all occurrences, and of each matched test suffix
     (suffix, length, word) for its longest match."""
     none = np.zeros(0, np.int64)
-    raw = known.find(hashes) + 1 if len(hashes) else none
     stop = raw == 0
     # runs of vocabulary words within a document
     fresh = np.ones(len(raw), bool)
@@ -197,14 +213,14 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
             known.add(tests.vocabulary, np.arange(len(tests.vocabulary)))
             kinds = schema_of()
             for batch in slices(batches, text, SHARD_BYTES):
-                hashes, of, _ = lowered(batch.column(text))
-                start, stop, win, suffix, best, at = search(tests, known, hashes, of)
+                data, starts, ends, of = lowered(batch.column(text))
+                start, stop, win, suffix, best, at = search(tests, known_words(tests, known, data, starts, ends), of)
                 before = batch.select(list(ADDED)).to_pylist() if again else [None] * batch.num_rows
                 if again:
                     old = [(r, s) for r, b in enumerate(before) for s in b["spans"]]
                     start = np.concatenate([start, np.array([of[r] + s["start"] for r, s in old], np.int64)])
                     stop = np.concatenate([stop, np.array([of[r] + s["end"] for r, s in old], np.int64)])
-                depth = np.zeros(len(hashes) + 1, np.int64)
+                depth = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(depth, start, 1)
                 np.add.at(depth, stop, -1)
                 hit = np.cumsum(depth)[:-1] > 0

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lumagrain.operators.graph import components
 from lumagrain.storage import stored
 
-from .common import IS_WORD, LOWER, U64, lean, mix, prefix, range_hash, shielded, slices, small_batches, sorted_groups, table, utf8, word_hashes, words
+from .common import IS_WORD, LOWER, U64, gram_hashes, lean, mix, sequence_hash, shielded, slices, small_batches, sorted_groups, table, utf8, word_hashes, words
 from .winnow import Filter, passing, row_keyed
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -37,15 +37,17 @@ def shingles(column, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.nd
     data = LOWER[data]
     starts, ends, of = words(data, offsets, IS_WORD)
     each = word_hashes(data, starts, ends)
-    sums_ = prefix(each)
     n = np.diff(of)
-    whole = range_hash(sums_, of[:-1], of[1:])
-    other = mix(np.append(U64(0), np.cumsum(mix(each)))[of[1:]] - np.append(U64(0), np.cumsum(mix(each)))[of[:-1]])
+    whole, other = sequence_hash(each, of[:-1], of[1:]), sequence_hash(each, of[:-1], of[1:], seed=1)
     count = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
     at = np.append(0, np.cumsum(count))
     doc = np.repeat(np.arange(len(n)), count)
     first = of[doc] + np.arange(at[-1]) - at[doc]
-    h = range_hash(sums_, first, first + np.minimum(size, n[doc]))
+    h = np.zeros(len(first), U64)
+    full = n[doc] >= size
+    h[full] = gram_hashes(each, size)[first[full]]
+    few = np.flatnonzero(~full)
+    h[few] = whole[doc[few]]
     # occurrences: equal hashes of one document are numbered in text order
     own = mix(h + doc.astype(U64) * U64(0x9FB21C651E98DF25))
     order = np.argsort(own, kind="stable")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumagrain.storage import stored
 
-from .common import IS_WORD, LOWER, U64, lean, mix, prefix, range_hash, shielded, slices, small_batches, sums, table, utf8, word_hashes, words
+from .common import IS_WORD, LOWER, U64, gram_hashes, lean, mix, shielded, slices, small_batches, sums, table, utf8, word_hashes, words
 
 BUCKETS = 1 << 17
 GRAMS = 2
@@ -36,14 +36,14 @@ def grams(column, n: int = GRAMS, buckets: int = BUCKETS) -> list[tuple[np.ndarr
     data, offsets = utf8(column)
     data = LOWER[data]
     starts, ends, of = words(data, offsets, IS_WORD)
-    sums_ = prefix(word_hashes(data, starts, ends))
+    each = word_hashes(data, starts, ends)
     count = np.diff(of)
     out = []
     for k in range(1, n + 1):
         size = np.maximum(count - k + 1, 0)
         at = np.append(0, np.cumsum(size))
         first = np.repeat(of[:-1] - at[:-1], size) + np.arange(at[-1])
-        out.append(((range_hash(sums_, first, first + k) % U64(buckets)).astype(np.int64), at))
+        out.append(((gram_hashes(each, k)[first] % U64(buckets)).astype(np.int64), at))
     return out
 
 

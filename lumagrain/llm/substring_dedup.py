@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, lean, prefix, shielded, slices, spread, table, utf8, word_hashes, words
+from .common import IS_WORD, lean, prefix, sequence_hash, shielded, slices, spread, table, utf8, word_hashes, word_numbers, words
 from .fm_index import FmIndex
 from .winnow import Elements, Fragment, covered, first_of, fragments, judged, removal_spans, row_keyed, with_spans
 
@@ -27,15 +27,15 @@ SHARD_BYTES, HOT_BYTES = 2 << 20, 4 << 20
 def word_elements(column) -> Elements:
     data, offsets = utf8(column)
     starts, ends, of = words(data, offsets, IS_WORD)
-    return Elements(prefix(word_hashes(data, starts, ends)), of, lambda a, b: data[starts[a] : ends[b - 1]].tobytes())
+    each = word_hashes(data, starts, ends)
+    return Elements(prefix(each), of, lambda a, b: data[starts[a] : ends[b - 1]].tobytes(), lambda a, b: sequence_hash(each, a, b))
 
 
 def repeats(found: list[Fragment], window: int = WINDOW) -> list[list[int]]:
     """Flat ranges of the windows of each fragment's first occurrence that also start earlier."""
     data, offsets = utf8(pa.array([f.text for f in found], pa.binary()))
     starts, ends, of = words(data, offsets, IS_WORD)
-    _, symbols = np.unique(word_hashes(data, starts, ends), return_inverse=True)
-    symbols = (symbols + 1).astype(np.int32)
+    symbols = word_numbers(data, starts, ends) + 1
     sigma = int(symbols.max()) + 1
     index = FmIndex(symbols, of, sigma)
     n = np.array([f.n for f in found], np.int64)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, lean, prefix, shielded, slices, table, utf8
+from .common import U64, byte_hash, lean, prefix, shielded, slices, table, utf8
 from .induced_sorting import permuted_common_prefixes, suffix_array
 from .winnow import Elements, Fragment, covered, first_of, fragments, joined_ranges, judged, removal_spans, row_keyed, with_spans
 
@@ -26,7 +26,7 @@ END = 0xFF  # no UTF-8 byte
 
 def byte_elements(column) -> Elements:
     data, offsets = utf8(column)
-    return Elements(prefix(data.astype(U64) + U64(1)), offsets, lambda a, b: data[a:b].tobytes())
+    return Elements(prefix(data.astype(U64) + U64(1)), offsets, lambda a, b: data[a:b].tobytes(), lambda a, b: byte_hash(data, a, b))
 
 
 def repeats(found: list[Fragment], length: int = LENGTH) -> list[list[int]]:

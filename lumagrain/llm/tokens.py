@@ -10,7 +10,7 @@ import os
 
 import numpy as np
 
-from .common import IS_WORD, HashTable, spread, utf8, word_hashes, words, worker_held
+from .common import IS_WORD, SHORT, HashTable, same_bytes, spread, utf8, word_hashes, words, worker_held
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -35,8 +35,9 @@ JOIN = 200  # words that are encoded as one text, parted by a special token, who
 
 
 class WordIds:
-    """Worker cache from words to their ids. At most 2**(bits - 1) words and `pool` ids are held; when either is
-    full the cache starts anew, so memory is bounded and results never depend on it."""
+    """Worker cache from words to their ids. At most 2**(bits - 1) words and about `pool` ids and bytes are held; when
+    one is full the cache starts anew, so memory is bounded and results never depend on it. Words are found by their keys
+    and, where a key is a hash, compared with the word that is held."""
 
     def __init__(self, path: str, bits: int = 22, pool: int = 1 << 24, dtype=np.uint16):
         self.encoder, self.bits, self.pool, self.dtype = load(path), bits, pool, dtype
@@ -47,6 +48,7 @@ class WordIds:
     def clear(self) -> None:
         self.table = HashTable(self.bits)
         self.lengths, self.starts, self.ids, self.used, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype), 0, 0
+        self.spelled, self.spelt_at, self.sizes, self.spelling = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint8)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids, one after the other, and how many each word has."""
@@ -59,36 +61,52 @@ class WordIds:
         ends = np.flatnonzero(flat == mark)
         return flat[flat != mark], np.diff(ends, prepend=-1) - 1
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        flat, lengths = self.encode(texts)
-        while self.n + len(keys) > len(self.lengths):
-            self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts))
+    def _learn(self, texts: list[bytes]) -> np.ndarray:
+        """The indices of new words, one for each."""
+        flat, lengths = self.encode([t.decode("utf-8", "replace") for t in texts])
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        spelt = np.frombuffer(b"".join(texts), np.uint8)
+        while self.n + len(texts) > len(self.lengths):
+            self.lengths, self.starts, self.spelt_at, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts, self.spelt_at, self.sizes))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        at = slice(self.n, self.n + len(keys))
+        while self.spelled + len(spelt) > len(self.spelling):
+            self.spelling = np.concatenate([self.spelling, np.zeros_like(self.spelling)])
+        at = slice(self.n, self.n + len(texts))
         self.lengths[at], self.starts[at] = lengths, self.used + np.cumsum(lengths) - lengths
+        self.sizes[at], self.spelt_at[at] = sizes, self.spelled + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(flat)] = flat
-        self.table.add(keys, np.arange(self.n, self.n + len(keys)))
-        self.n, self.used = self.n + len(keys), self.used + len(flat)
+        self.spelling[self.spelled : self.spelled + len(spelt)] = spelt
+        new = np.arange(self.n, self.n + len(texts))
+        self.n, self.used, self.spelled = self.n + len(texts), self.used + len(flat), self.spelled + len(spelt)
+        return new
 
     def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The cache's index of each word; words that it does not hold are encoded first."""
+
+        def raw(k: np.ndarray) -> list[bytes]:
+            return [data[a:b].tobytes() for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)]
+
         at = self.table.find(hashes)
         if (at < 0).any():
             missing = np.flatnonzero(at < 0)
             keys, first = np.unique(hashes[missing], return_index=True)
-            if len(keys) > self.table.room or self.used > self.pool:
+            if len(keys) > self.table.room or max(self.used, self.spelled) > self.pool:
                 self.clear()
-                if len(keys) > self.table.room:  # one long text with very many words
-                    self.table = HashTable(int(len(keys)).bit_length() + 2)
-                keys, first = np.unique(hashes, return_index=True)
                 missing = np.arange(len(hashes))
-                if len(keys) > self.table.room:
+                keys, first = np.unique(hashes, return_index=True)
+                if len(keys) > self.table.room:  # one long text with very many words
                     self.table = HashTable(int(len(keys)).bit_length() + 2)
-            raw = data.tobytes()
-            pick = missing[first]
-            self._learn(keys, [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)])
+            self.table.add(keys, self._learn(raw(missing[first])))
             at[missing] = self.table.find(hashes[missing])
+        size = ends - starts
+        long = np.flatnonzero(size > SHORT)
+        held = at[long]
+        same = self.sizes[held] == size[long]
+        same[same] = same_bytes(data, starts[long[same]], self.spelling[: self.spelled], self.spelt_at[held[same]], size[long[same]])
+        if not same.all():  # another word of the same key: encoded on its own
+            other = long[~same]
+            at[other] = self._learn(raw(other))
         return at
 
     def batch(self, column) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lumagrain.storage import stored
 
-from .common import U64, lean, mix, powers, range_hash, slices, small_batches
+from .common import U64, lean, mix, range_key, slices, small_batches
 
 BLOOM_BITS = 1 << 26  # 8 MB at any size of the input: a full filter costs time, never results
 BLOOM_PARTS = 64
@@ -29,25 +29,25 @@ BLOOM_PARTS = 64
 
 @dataclass
 class Elements:
-    """The bytes or words of a slice of documents: a value to hash for each, offsets of documents in them, and the
-    text of any range of them."""
+    """The bytes or words of a slice of documents: prefix sums of a value for each, offsets of documents in them, the
+    text of any range of them, and 64-bit hashes of the contents of ranges."""
 
     prefix: np.ndarray
     offsets: np.ndarray
     text: Callable[[int, int], bytes]
+    content: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 @dataclass
 class Runs:
     """Maximal runs of windows with the same least hash: document, first and past-last window (absolute element
-    indices), the hash, whether that stands twice in the run, and a hash of the run's whole text."""
+    indices), the hash, and whether that stands twice in the run."""
 
     doc: np.ndarray
     start: np.ndarray
     end: np.ndarray
     least: np.ndarray
     twice: np.ndarray
-    content: np.ndarray
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -69,38 +69,39 @@ def runs(e: Elements, window: int, gram: int) -> Runs:
     none = np.zeros(0, np.int64)
     size = np.diff(e.offsets)
     if n < window or not (size >= window).any():
-        return Runs(none, none, none, none.astype(U64), none.astype(bool), none.astype(U64))
-    _, down = powers(n + 1)
-    h = mix((e.prefix[gram:] - e.prefix[:-gram]) * down[: n + 1 - gram])
+        return Runs(none, none, none, none.astype(U64), none.astype(bool))
+    h = range_key(e.prefix, gram)
     w = window - gram + 1
     least = sliding_min(h, w)
     m = len(least)
-    valid = np.zeros(m + 1, np.int8)
     long = size >= window
-    np.add.at(valid, e.offsets[:-1][long], 1)
-    ends = e.offsets[1:][long] - window + 1
-    np.add.at(valid, ends[ends <= m], -1)
-    valid = np.cumsum(valid[:-1]) > 0
+    begins, stops = e.offsets[:-1][long], e.offsets[1:][long] - window + 1
+    valid = np.zeros(m + 1, np.int8)
+    valid[begins] = 1
+    valid[stops[stops <= m]] -= 1  # where one document's windows end, the next one's may begin
+    valid = np.cumsum(valid[:-1], dtype=np.int8).view(bool)
     change = valid.copy()
     change[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
-    change[e.offsets[:-1][long]] = True
+    change[begins] = True
     start = np.flatnonzero(change)
-    stop = np.zeros(m + 1, bool)
-    stop[1:m] = valid[:-1] & (~valid[1:] | change[1:])
-    stop[m] = valid[-1]
-    end = np.flatnonzero(stop)
+    # a run ends where the next begins, or with its document's windows
+    doc = np.searchsorted(e.offsets, start, "right") - 1
+    end = np.minimum(np.append(start[1:], m), e.offsets[doc + 1] - window + 1)
     # two equal windows of a run have the least hash at two places of it, of which one opens and one closes a window
-    opens, closes = h[:m] == least, h[w - 1 : w - 1 + m] == least
-    at = np.arange(m)
 
-    def total(x: np.ndarray) -> np.ndarray:
-        c = np.zeros(m + 1, np.int64)
-        np.cumsum(x, out=c[1:])
-        return c[end] - c[start]
+    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(x)
+        run = np.searchsorted(start, at, "right") - 1
+        inside = (run >= 0) & (at < end[run])
+        at, run = at[inside], run[inside]
+        last = np.zeros(len(start), np.int64)
+        last[run] = at
+        return np.bincount(run, minlength=len(start)), last
 
-    a, b = total(opens), total(closes)
-    twice = (a > 1) | (b > 1) | ((a == 1) & (b == 1) & (total(at * opens) != total((at + w - 1) * closes)))
-    return Runs(np.searchsorted(e.offsets, start, "right") - 1, start, end, least[start], twice, range_hash(e.prefix, start, end + window - 1))
+    opens, opened = places(h[:m] == least)
+    closes, closed = places(h[w - 1 : w - 1 + m] == least)
+    twice = (opens > 1) | (closes > 1) | ((opens == 1) & (closes == 1) & (opened != closed + w - 1))
+    return Runs(doc, start, end, least[start], twice)
 
 
 def bloom_slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,9 +194,10 @@ def fragments(docs: DataFrame, text: str, elements: Callable, window: int, gram:
             found = runs(e, window, gram)
             keep = np.flatnonzero(recurrent.passes(found.least.view(np.int64)))
             doc = found.doc[keep]
+            content = e.content(found.start[keep], found.end[keep] + window - 1)
             rid, sub = batch.column("_rid").take(pa.array(doc)), batch.column("_sub").take(pa.array(doc))
             yield pa.RecordBatch.from_arrays(
-                [rid, sub, pa.array(found.least[keep].view(np.int64)), pa.array(found.content[keep].view(np.int64)), pa.array((found.start[keep] - e.offsets[doc]).astype(np.int32)), pa.array((found.end[keep] - found.start[keep]).astype(np.int32)), pa.array(found.twice[keep])],
+                [rid, sub, pa.array(found.least[keep].view(np.int64)), pa.array(content.view(np.int64)), pa.array((found.start[keep] - e.offsets[doc]).astype(np.int32)), pa.array((found.end[keep] - found.start[keep]).astype(np.int32)), pa.array(found.twice[keep])],
                 names=["_rid", "_sub", "least", "content", "start", "n", "twice"],
             )
 
@@ -217,8 +219,9 @@ def fragments(docs: DataFrame, text: str, elements: Callable, window: int, gram:
             rid, sub = (batch.column(c).to_numpy()[doc] for c in ("_rid", "_sub"))
             first = firsts.passes(rid, sub, found.start[keep] - e.offsets[doc])
             keep = keep[first]
+            content = e.content(found.start[keep], found.end[keep] + window - 1)
             texts = [e.text(a, b + window - 1) for a, b in zip(found.start[keep].tolist(), found.end[keep].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(found.least[keep].view(np.int64)), pa.array(found.content[keep].view(np.int64)), pa.array(texts, pa.binary())], names=[*kinds, "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.least[keep].view(np.int64)), pa.array(content.view(np.int64)), pa.array(texts, pa.binary())], names=[*kinds, "text"])
 
     shipped = keyed.mapInArrow(lean(ship), "least long, content long, text binary")
     texts = shipped.select(*kinds, F.lit(0).cast("long").alias("copies"), *(F.lit(0).cast(t).alias(c) for c, t in (("_rid", "long"), ("_sub", "long"), ("start", "int"), ("n", "int"), ("twice", "int"))), "text")
@@ -297,7 +300,7 @@ def hot_windows(hot: DataFrame, elements: Callable, window: int) -> DataFrame:
             w = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = e.offsets[doc] + w
             back = pa.array(doc)
-            whole = range_hash(e.prefix, at, at + window)
+            whole = e.content(at, at + window)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(back) for c in ("least", "content", "copies", "_rid", "_sub")), pa.array(batch.column("start").to_numpy()[doc].astype(np.int64) + w), pa.array(w.astype(np.int32)), pa.array(whole.view(np.int64))], names=["least", "content", "copies", "_rid", "_sub", "pos", "w", "hash"])
 
     rows = hot.mapInArrow(lean(explode), "least long, content long, copies long, _rid long, _sub long, pos long, w int, hash long")
