@@ -1,8 +1,9 @@
 """A compressed full-text index of word sequences: Burrows-Wheeler transform, wavelet tree, backward search.
 
 The sequences are terminated one by one, the terminators ordered as the sequences. Bits of the wavelet tree are
-packed 64 to a word beside one count each, so an index takes about 1.5 bits a word and level. All operations work on
-whole arrays of queries at once.
+packed 64 to a word beside one count each, so the tree takes about 1.5 bits a word and level. Of the suffix array only
+every RATE-th position of a text is kept; the others are found by walking back through the transform. All operations
+work on whole arrays of queries at once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from .common import U64
 from .decontamination import suffix_array
 
 
+RATE = 8  # positions of which one is kept
+
+
 class BitVector:
     """Bits with rank: how many ones stand before each of many positions."""
 
@@ -29,6 +33,9 @@ class BitVector:
         inside = self.words[block] & ((U64(1) << (at & 63).astype(U64)) - U64(1))
         return self.before[block].astype(np.int64) + np.bitwise_count(inside)
 
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1
+
 
 class WaveletTree:
     """Levels of a wavelet tree laid out level by level (a wavelet matrix), high bits first."""
@@ -54,6 +61,18 @@ class WaveletTree:
             hi = np.where(up, zeros + h1, hi - h1)
         return lo - start, hi - start
 
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols at these places, and how often each stands before its place."""
+        start, symbol = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        n = len(at)
+        for vector, zeros, bit in self.levels:
+            up = vector.get(at)
+            ones = vector.rank(np.concatenate([start, at]))
+            start = np.where(up, zeros + ones[:n], start - ones[:n])
+            at = np.where(up, zeros + ones[n:], at - ones[n:])
+            symbol |= up.astype(np.int64) << bit
+        return symbol, at - start
+
 
 class FmIndex:
     """Over sequences of symbols from 1; `offsets` are the sequences' bounds in `symbols`."""
@@ -62,18 +81,34 @@ class FmIndex:
         n, k = len(symbols), len(offsets) - 1
         size = np.diff(offsets)
         order = suffix_array(symbols, np.repeat(offsets[1:], size))
-        self.positions = order  # of row k + r
         self.first_row = k  # rows before are the terminators'
         before = np.zeros(n, symbols.dtype)
         before[1:] = symbols[:-1]
         begins = offsets[:-1][size > 0]
         before[begins] = 0
+        held = np.zeros(n, bool)  # a sequence's first position has no predecessor to walk to
+        held[::RATE] = held[begins] = True
+        held = held[order]
+        self.kept, self.samples = BitVector(held), order[held].astype(np.int32)
         last = np.zeros(k, symbols.dtype)
         last[size > 0] = symbols[offsets[1:][size > 0] - 1]
         self.tree = WaveletTree(np.concatenate([last, before[order]]).astype(np.int64), sigma)
         counts = np.bincount(symbols, minlength=sigma + 1)
         self.below = k + np.cumsum(counts) - counts
 
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """The positions of the suffixes of these rows: steps back to a position that is kept, and that position."""
+        out, walked = np.zeros(len(rows), np.int64), 0
+        todo, rows = np.arange(len(rows)), rows - self.first_row
+        while len(todo):
+            here = self.kept.get(rows)
+            out[todo[here]] = self.samples[self.kept.rank(rows[here])] + walked
+            todo, rows = todo[~here], rows[~here]
+            symbol, before = self.tree.access(rows + self.first_row)
+            rows = self.below[symbol] + before - self.first_row
+            walked += 1
+        return out
+
     def matching_statistics(self, symbols: np.ndarray, ends: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each query that ends (exclusively) at `ends` in `symbols`: how many symbols back it still occurs at
         least twice, up to the threshold, and the rows [lo, hi) of what matched there. Every query's symbols are

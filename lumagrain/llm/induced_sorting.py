@@ -1,17 +1,18 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, over numpy arrays.
 
 The suffixes are classified as smaller (S) or larger (L) than their successor; the leftmost S of each run (LMS) is
-sorted by its substring, the substrings' names by recursion, and all others are induced from them bucket by bucket:
-one pass upwards places the L suffixes, one downwards the S suffixes. Each bucket is a few array operations, so a
-pass costs its suffixes and not an interpreter step for each. Where a recursion's names are too many for buckets,
-they are few a substring and are finished by packed rank refinement (three ranks a key).
+sorted by its substring, the substrings' names by recursion, and all others are induced from them: one pass upwards
+through the buckets places the L suffixes, one downwards the S suffixes. A pass takes a large bucket, or some small ones
+together, at a time and is a few array operations for each, so it costs its suffixes and not an interpreter step for
+each; also over the many names of a recursion.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-MOST_BUCKETS = 1024
+CHUNKS, LEAST = 128, 4096  # chunks of about equal sizes into which a pass's buckets go, and suffixes of a chunk at least
+DEEP = 12  # steps of induction within a chunk beyond which it is parted
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -25,67 +26,114 @@ def classify(s: np.ndarray) -> np.ndarray:
     return step[nearest] > 0
 
 
-def _place(sa: np.ndarray, at: np.ndarray, symbols: np.ndarray, values: np.ndarray, sigma: int, sign: int) -> None:
-    """Puts values into their symbols' buckets in this order, upwards from `at` or downwards."""
-    if len(values) == 1:
-        c = symbols[0]
-        if sign > 0:
-            sa[at[c]] = values[0]
+def _induced(s: np.ndarray, placed: np.ndarray, fixed: np.ndarray, first: int | None, sigma: int) -> np.ndarray:
+    """The suffixes of one kind (`placed`) in order, from those of the other kind (`fixed`, in order). A suffix goes to the
+    end of its symbol's bucket when the suffix after it is passed; no symbol of this kind is below the one after it.
+    A bucket's own fixed suffixes are passed after those placed there."""
+    counts = np.bincount(s[placed], minlength=sigma)
+    at = np.cumsum(counts) - counts  # of each bucket's first free place
+    begin = at.copy()
+    out = np.zeros(int(counts.sum()), np.int32)
+    fixed = fixed[np.argsort(s[fixed], kind="stable")]
+    size = np.bincount(s[fixed], minlength=sigma)
+    bound = np.append(0, np.cumsum(size))
+    if first is not None:
+        out[at[s[first]]] = first
+        at[s[first]] += 1
+
+    def before(found: np.ndarray) -> np.ndarray:
+        p = found[found > 0] - 1
+        return p[placed[p]]
+
+    def push(p: np.ndarray) -> None:
+        if len(p) == 1:
+            out[at[s[p[0]]]] = p[0]
+            at[s[p[0]]] += 1
+        elif len(p):
+            symbols = s[p]
+            order = np.argsort(symbols, kind="stable")
+            symbols = symbols[order]
+            heads = np.append(0, np.flatnonzero(symbols[1:] != symbols[:-1]) + 1)
+            more = np.diff(heads, append=len(p))
+            out[np.repeat(at[symbols[heads]] - heads, more) + np.arange(len(p))] = p[order]
+            at[symbols[heads]] += more
+
+    def alone(c: int) -> None:
+        done = begin[c]
+        while done < at[c]:
+            part, done = out[done : at[c]], at[c]
+            push(before(part))
+        push(before(fixed[bound[c] : bound[c + 1]]))
+
+    def together(lo: int, hi: int) -> None:
+        held = at[lo:hi] - begin[lo:hi]
+        total = int(held.sum())
+        here = out[np.repeat(begin[lo:hi] - (np.cumsum(held) - held), held) + np.arange(total)]
+        given = fixed[bound[lo] : bound[hi]]
+        # what is placed within the chunk from within it, step by step, and from which (an index into all)
+        every, parents, front, where = [here, given], [], np.concatenate([here, given]), np.arange(total + len(given))
+        while len(front):
+            go = front > 0
+            p, where = front[go] - 1, where[go]
+            inside = placed[p] & (s[p] < hi)
+            p, where = p[inside], where[inside]
+            if len(p):
+                if len(parents) == DEEP:
+                    for a, b in ((lo, c := int(s[p[0]])), (c, c + 1), (c + 1, hi)):  # the bucket of a long run, alone
+                        if a < b:
+                            chunk(a, b)
+                    return
+                parents.append(where)
+                where = np.arange(len(p)) + sum(map(len, every))
+                every.append(p)
+            front = p
+        all_ = np.concatenate(every)
+        symbols = s[all_] - lo
+        # buckets in order; in each, what came from before the chunk, then from within, then the fixed
+        part = np.full(len(all_), 1)
+        part[:total], part[total : total + len(given)] = 0, 2
+        group = symbols.astype(np.int64) * 3 + part
+        key = np.arange(len(all_))
+        if parents:
+            parent, new = np.concatenate(parents), np.arange(total + len(given), len(all_))
+            rank = np.empty(len(all_), np.int64)
+            for _ in range(len(parents) + 1):  # an order settles one step of induction after that of its parents
+                order = np.lexsort((key, group))
+                rank[order] = np.arange(len(all_))
+                key[new] = rank[parent]
+        order = np.lexsort((key, group))
+        if parents:
+            of = group[order]
+            mine = order[of % 3 == 1]
+            push(all_[mine])
+        p = before(all_[order])
+        push(p[s[p] >= hi])
+
+    def chunk(lo: int, hi: int) -> None:
+        if hi - lo == 1:
+            alone(lo)
         else:
-            sa[at[c] - 1] = values[0]
-        at[c] += sign
-        return
-    order = np.argsort(symbols, kind="stable")
-    counts = np.bincount(symbols, minlength=sigma)
-    first = np.cumsum(counts) - counts
-    sorted_ = symbols[order]
-    rank = np.arange(len(values)) - first[sorted_]
-    if sign > 0:
-        sa[at[sorted_] + rank] = values[order]
-    else:
-        sa[at[sorted_] - 1 - rank] = values[order]
-    at += sign * counts
+            together(lo, hi)
+
+    weight = np.cumsum(counts + size)
+    target = max(LEAST, int(weight[-1]) // CHUNKS)
+    lo = 0
+    while lo < sigma:
+        hi = max(lo + 1, int(np.searchsorted(weight, (weight[lo - 1] if lo else 0) + target, "right")))
+        if weight[hi - 1] > (weight[lo - 1] if lo else 0):
+            chunk(lo, hi)
+        lo = hi
+    return out
 
 
 def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """All suffixes in order, from the LMS suffixes in the order given."""
-    n = len(s)
-    counts = np.bincount(s, minlength=sigma)
-    ends = np.cumsum(counts)
-    starts = ends - counts
-    sa = np.full(n, -1, np.int32)
-    # the LMS suffixes of each bucket, in the order given
-    symbols = s[lms]
-    order = np.argsort(symbols, kind="stable")
-    bounds = np.append(0, np.cumsum(np.bincount(symbols, minlength=sigma)))
-    seeds = lms[order]
-    head, done = starts.copy(), starts.copy()
-    sa[head[s[n - 1]]] = n - 1
-    head[s[n - 1]] += 1
-    present = np.flatnonzero(counts).tolist()
-
-    def push(found: np.ndarray, kind: bool, at: np.ndarray, sign: int) -> None:
-        p = found[found > 0] - 1
-        p = p[small[p] == kind]
-        if len(p):
-            _place(sa, at, s[p], p, sigma, sign)
-
-    for c in present:
-        while done[c] < head[c]:
-            part = sa[done[c] : head[c]]
-            done[c] = head[c]
-            push(part, False, head, 1)
-        if bounds[c] < bounds[c + 1]:
-            push(seeds[bounds[c] : bounds[c + 1]], False, head, 1)
-    tail, done = ends.copy(), ends.copy()
-    for c in reversed(present):
-        while done[c] > tail[c]:
-            part = sa[tail[c] : done[c]][::-1]
-            done[c] = tail[c]
-            push(part, True, tail, -1)
-        if starts[c] < head[c]:
-            push(sa[starts[c] : head[c]][::-1], True, tail, -1)
-    return sa
+    s = s.astype(np.int32)
+    large = _induced(s, ~small, lms, len(s) - 1, sigma)
+    # downwards is upwards with the symbols in reverse
+    rest = _induced(sigma - 1 - s, small, large[::-1], None, sigma)[::-1]
+    both = np.concatenate([large, rest])
+    return both[np.argsort(s[both], kind="stable")]
 
 
 def _names(s: np.ndarray, small: np.ndarray, ordered: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -107,37 +155,11 @@ def _names(s: np.ndarray, small: np.ndarray, ordered: np.ndarray, length: np.nda
     return np.cumsum(~same) - 1
 
 
-def _refine(s: np.ndarray) -> np.ndarray:
-    """Suffix array by sorting packed triples of ranks, each round three times as deep, until all ranks differ."""
-    n = len(s)
-    rank = s.astype(np.int64) + 1
-    depth = 1
-    while True:
-        bits = int(rank.max()).bit_length()
-        take = max(2, min(8, 63 // bits))
-        key = np.zeros(n, np.int64)
-        for k in range(take):
-            key <<= bits
-            if depth * k < n:
-                key[: n - depth * k] |= rank[depth * k :]
-        order = np.argsort(key)
-        sorted_ = key[order]
-        fresh = np.ones(n, bool)
-        fresh[1:] = sorted_[1:] != sorted_[:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        depth *= take
-        if fresh.all() or depth >= n:
-            return order.astype(np.int32)
-
-
 def suffix_array(s: np.ndarray, sigma: int = 256) -> np.ndarray:
     """The suffix array of symbols below sigma; the end is smaller than every symbol."""
     n = len(s)
     if n < 2:
         return np.arange(n, dtype=np.int32)
-    if sigma > MOST_BUCKETS:
-        return _refine(s)
     small = classify(s)
     is_lms = small.copy()
     is_lms[0] = False

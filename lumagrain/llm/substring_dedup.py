@@ -52,13 +52,11 @@ def repeats(found: list[Fragment], window: int = WINDOW) -> list[list[int]]:
     order = np.lexsort((place, np.array([f.sub for f in found])[fragment], np.array([f.rid for f in found])[fragment]))
     rank = np.empty(len(symbols), np.int64)
     rank[order] = np.arange(len(symbols))
-    rows = rank[index.positions]
     # distinct matches have disjoint rows, so all their occurrences together are at most the shard
     a, back = np.unique(lo[hit], return_inverse=True)
     b = np.zeros(len(a), np.int64)
     b[back] = hi[hit]
-    edges = np.stack([a, b], 1).ravel() - index.first_row
-    earliest = np.minimum.reduceat(np.append(rows, np.iinfo(np.int64).max), edges)[0::2]
+    earliest = np.minimum.reduceat(rank[index.locate(spread(a, b - a))], np.cumsum(b - a) - (b - a))
     gone = hit[rank[at[hit]] > earliest[back]]
     mask = np.zeros(len(at) + 1, bool)
     mask[gone] = True

@@ -29,14 +29,22 @@ def test_any_text(raw):
         assert got[sa[k]] == common(s, sa[k], sa[k - 1], len(s))
 
 
-@pytest.mark.parametrize("buckets", [4, 1024])
-def test_recursion_and_refinement(buckets, monkeypatch):
-    monkeypatch.setattr(i, "MOST_BUCKETS", buckets)
+@pytest.mark.parametrize("chunks,deep", [(1, 1), (1, 12), (3, 2), (128, 12), (5000, 12)])
+def test_chunks(chunks, deep, monkeypatch):
+    """However the buckets are taken together, in the recursion too."""
+    monkeypatch.setattr(i, "CHUNKS", chunks)
+    monkeypatch.setattr(i, "DEEP", deep)
+    monkeypatch.setattr(i, "LEAST", 1)
     r = np.random.default_rng(5)
-    s = np.concatenate([r.integers(97, 100, 4000), np.tile(r.integers(97, 123, 50), 20), np.full(300, 97)]).astype(np.uint8)
-    assert i._refine(s).tolist() == plain(s)
-    if buckets > 256:
-        assert i.suffix_array(s).tolist() == plain(s)
+    s = np.concatenate([r.integers(97, 100, 4000), np.tile(r.integers(97, 123, 50), 20), np.full(300, 97), r.integers(0, 256, 3000), np.arange(255, -1, -1)]).astype(np.uint8)
+    assert i.suffix_array(s).tolist() == plain(s)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 5000), min_size=2, max_size=200) | st.lists(st.sampled_from([1, 4000]), min_size=2, max_size=200))
+def test_many_names(names):
+    s = np.array(names, np.int32)
+    assert i.suffix_array(s, 5001).tolist() == plain(s)
 
 
 def test_pieces_cut_prefixes():

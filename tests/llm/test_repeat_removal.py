@@ -90,6 +90,10 @@ def test_fm_index_counts():
     for e, m, a, b in zip(ends, length, lo, hi, strict=True):
         n = grams.count(tuple(s[e - 3 : e]))
         assert (m == 3) == (n > 1) and (m < 3 or b - a == n)
+        if m == 3:
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == [k for k in range(len(s) - 2) if any(of[j] <= k <= of[j + 1] - 3 for j in range(5)) and tuple(s[k : k + 3]) == tuple(s[e - 3 : e])]
+    order = index.locate(np.arange(5, 5 + len(s)))
+    assert sorted(order.tolist()) == list(range(len(s))) and len(index.samples) < len(s) / 4
 
 
 def test_sliding_min():
