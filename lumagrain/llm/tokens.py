@@ -39,8 +39,9 @@ class WordIds:
     one is full the cache starts anew, so memory is bounded and results never depend on it. Words are found by their keys
     and, where a key is a hash, compared with the word that is held."""
 
-    def __init__(self, path: str, bits: int = 22, pool: int = 1 << 24, dtype=np.uint16):
-        self.encoder, self.bits, self.pool, self.dtype = load(path), bits, pool, dtype
+    def __init__(self, path: str, bits: int = 22, pool: int = 1 << 24):
+        self.encoder, self.bits, self.pool = load(path), bits, pool
+        self.dtype = np.uint16 if self.encoder.get_vocab_size() <= 1 << 16 else np.uint32
         special = [(k, t.content) for k, t in sorted(self.encoder.get_added_tokens_decoder().items()) if t.special and not t.normalized]
         self.mark = special[0] if special else None
         self.clear()
@@ -53,14 +54,17 @@ class WordIds:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids, one after the other, and how many each word has."""
         if self.mark is None or any(self.mark[1] in t for t in texts):
-            each = [e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.fromiter((x for ids in each for x in ids), self.dtype), np.fromiter(map(len, each), np.int64, len(each))
+            return self.flat(self.encoder, texts)
         mark, content = self.mark
         joined = [content.join(texts[k : k + JOIN]) + content for k in range(0, len(texts), JOIN)]
         flat = np.concatenate([np.array(e.ids, self.dtype) for e in self.encoder.encode_batch_fast(joined, add_special_tokens=False)])
         ends = np.flatnonzero(flat == mark)
         return flat[flat != mark], np.diff(ends, prepend=-1) - 1
 
+    def flat(self, encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((x for ids in each for x in ids), self.dtype), np.fromiter(map(len, each), np.int64, len(each))
+
     def _learn(self, texts: list[bytes]) -> np.ndarray:
         """The indices of new words, one for each."""
         flat, lengths = self.encode([t.decode("utf-8", "replace") for t in texts])
