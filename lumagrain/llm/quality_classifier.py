@@ -1,10 +1,10 @@
 """Quality by importance resampling: the ratio of two generative models over hashed n-grams.
 
 One model is fitted on target documents, those labelled good and not toxic, the other on all raw documents. A
-document's weight is the log ratio of the two over its n-grams, as for a text of EFFECTIVE n-grams, so that length
-alone decides nothing; Gumbel noise makes the top k of the noisy weights a sample without replacement in proportion
-to the weights. k is how many documents weigh at least the cut that best parts labelled documents which the model
-was not fitted on.
+document's log weight is the sum of the log ratios of its n-grams; a text of more than EFFECTIVE n-grams counts as one of
+that many, or length would decide. Gumbel noise of one unit, that of the log ratios, makes the top k a sample without
+replacement in proportion to the weights. k is how many documents weigh at least the cut that best parts labelled
+documents which the model was not fitted on.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from .common import IS_WORD, LOWER, U64, gram_hashes, lean, mix, shielded, slice
 
 BUCKETS = 1 << 17
 GRAMS = 2
-EFFECTIVE = 1024  # n-grams of the text length to which weights are brought: a text of some 500 words
+EFFECTIVE = 64  # n-grams as which a longer text counts: neighbouring ones repeat what a few of them say
 MOST_LABELLED = 20_000  # labelled documents of either kind that the model and the cut see: the least hashes of ids
 SMOOTHING = 1.0
 GOOD_LOSS = 4  # of a good document that the cut rejects, against 1 of another that it keeps
@@ -119,7 +119,7 @@ def scored(docs: DataFrame, model: Ratio, key: str = "doc_id", text: str = "text
             keys = batch.column("_k").fill_null(-1).to_numpy().astype(np.int64).view(U64)
             tie = mix(keys + mix(np.array([seed + 1], U64))[0])
             uniform = ((tie >> U64(11)).astype(np.float64) + 0.5) / (1 << 53)
-            weight = np.round(total * EFFECTIVE / np.maximum(n, 1)).astype(np.int64)
+            weight = np.round(total * (np.minimum(n, EFFECTIVE) / np.maximum(n, 1))).astype(np.int64)
             noisy = weight + np.round(-np.log(-np.log(uniform)) * UNIT).astype(np.int64)
             is_good, is_other = among(batch.column("_k"), m.good), among(batch.column("_k"), m.other)
             label = pa.array(is_good.astype(np.int32), mask=~(is_good | is_other))
@@ -129,15 +129,17 @@ def scored(docs: DataFrame, model: Ratio, key: str = "doc_id", text: str = "text
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> int:
-    """The least weight with the least loss: good documents below it, GOOD_LOSS each, and others at or above it."""
+    """The weight with the least loss: good documents below it, GOOD_LOSS each, and others at or above it; halfway
+    between the two weights that it parts, as unlabelled documents lie between them, too."""
     if not good.any():
         return int(np.iinfo(np.int64).min)
     order = np.argsort(weights, kind="stable")
     w, g = weights[order], good[order]
     errors = GOOD_LOSS * np.append(0, np.cumsum(g)) + np.append(np.cumsum((~g)[::-1])[::-1], 0)
     starts = np.append(True, w[1:] != w[:-1])  # a cut stands before the first of equal weights
-    k = np.flatnonzero(starts)[np.argmin(errors[:-1][starts])]
-    return int(w[k])
+    k = int(np.flatnonzero(starts)[np.argmin(errors[:-1][starts])])
+    below = int(w[max(0, k - 1)])
+    return below + (int(w[k]) - below + 1) // 2
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> tuple[int, int] | None:

@@ -59,13 +59,45 @@ def test_keeps_exactly_k(spark, corpus):
     assert [k for _, k in noisy] == [True] * 150 + [False] * 150
 
 
-def test_sampling_follows_the_weights(spark):
+def test_equal_weights_are_sampled_by_noise(spark):
     n = 2000
     docs = frame(spark, ["a"] * n)
     rows = q.resample(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), keep=0.25, seed=3).collect()
     assert sum(r["kept"] for r in rows) == n // 4 and {r["log_ratio"] for r in rows} == {0.0}
 
 
+def test_inclusion_follows_the_weights(spark):
+    """Over many seeds a text is among the top k as often as draws without replacement by weight take it."""
+    words = [f"w{k}" for k in range(6)]
+    texts = [words[k % 6] for k in range(60)]
+    docs = frame(spark, texts).coalesce(1)
+    model = q.Ratio(np.zeros(q.BUCKETS, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    logs = {w: 0.6 * k for k, w in enumerate(words)}
+    for w, x in logs.items():
+        (one, _), _ = q.grams(__import__("pyarrow").array([w]))
+        model.weights[one[0]] = round(x * q.UNIT)
+    k, seeds = 15, 60
+    taken = np.zeros(60)
+    for seed in range(seeds):
+        rows = q.scored(docs, model, seed=seed).select("doc_id", "_noisy").toPandas()
+        taken[rows.sort_values("_noisy")["doc_id"].to_numpy()[-k:]] += 1
+    r = np.random.default_rng(0)
+    p = np.exp([logs[t] for t in texts])
+    want = np.zeros(60)
+    for _ in range(4000):
+        want[r.choice(60, k, replace=False, p=p / p.sum())] += 1
+    got, want = (x.reshape(10, 6).sum(0) / n / 10 for x, n in ((taken, seeds), (want, 4000)))
+    assert np.abs(got - want).max() < 0.06 and want[5] > 3 * want[0]
+
+
+def test_noise_changes_the_kept_set(spark):
+    """Near the cut the sample is not the plain top k."""
+    rows = q.resample(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), keep=0.5).toPandas()
+    weight = rows["log_ratio"] * np.minimum(rows["n_grams"], q.EFFECTIVE) / np.maximum(rows["n_grams"], 1)
+    top = set(rows["doc_id"][weight.sort_values(kind="stable").index[-500:]])
+    assert rows["kept"].sum() == 500 and 0 < len(top - set(rows["doc_id"][rows["kept"]])) < 150
+
+
 def test_odd_rows(spark, corpus, odd_texts):
     _, labels = corpus
     docs = frame(spark, [*odd_texts, "same", "same"], ids=[*range(len(odd_texts)), None, None])
