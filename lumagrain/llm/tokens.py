@@ -41,12 +41,14 @@ class WordIds:
 
     def __init__(self, path: str, bits: int = 22, pool: int = 1 << 24):
         self.encoder, self.bits, self.pool = load(path), bits, pool
+        self.era = 0  # how often the cache has started anew
         self.dtype = np.uint16 if self.encoder.get_vocab_size() <= 1 << 16 else np.uint32
         special = [(k, t.content) for k, t in sorted(self.encoder.get_added_tokens_decoder().items()) if t.special and not t.normalized]
         self.mark = special[0] if special else None
         self.clear()
 
     def clear(self) -> None:
+        self.era += 1
         self.table = HashTable(self.bits)
         self.lengths, self.starts, self.ids, self.used, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype), 0, 0
         self.spelled, self.spelt_at, self.sizes, self.spelling = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint8)

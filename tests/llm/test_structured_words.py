@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from fixtures_llm import frame, prose
 from lumagrain.llm import common, decontamination, lm_scoring, near_dedup, packing, quality_classifier, substring_dedup, suffix_dedup, token_counts, tokens
+from lumagrain.llm.winnow import row_keyed
 from tokenizers import Tokenizer
 
 
@@ -80,7 +81,7 @@ def test_near_duplicates(spark):
 
 
 def test_word_counts(spark):
-    counts = lm_scoring.count_words(frame(spark, TEXTS), "doc_id", "text", tokens.vocabulary_path(lm_scoring.VOCABULARY))
+    counts, _ = lm_scoring.count_words(row_keyed(frame(spark, TEXTS), "doc_id"), "doc_id", "text", tokens.vocabulary_path(lm_scoring.VOCABULARY))
     train = [t for k, t in enumerate(TEXTS) if zlib.crc32(str(k).encode()) % 7 != 2]
     words = [w for t in train for w in t.split()]
     assert counts.count() == len(set(words)) + 1 and sorted(r["n"] for r in counts.collect()) == sorted([*(words.count(w) for w in set(words)), len(train)])
