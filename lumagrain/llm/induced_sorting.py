@@ -11,7 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNKS, LEAST = 128, 4096  # chunks of about equal sizes into which a pass's buckets go, and suffixes of a chunk at least
+from .common import eights
+
+CHUNKS, LEAST = 64, 8192  # chunks of about equal sizes into which a pass's buckets go, and suffixes of a chunk at least
+FEW = 16  # suffixes that are placed one by one
+ONE, ONE_BIT = np.ones(1, bool), np.uint64(1)
 DEEP = 12  # steps of induction within a chunk beyond which it is parted
 
 
@@ -46,15 +50,17 @@ def _induced(s: np.ndarray, placed: np.ndarray, fixed: np.ndarray, first: int |
         return p[placed[p]]
 
     def push(p: np.ndarray) -> None:
-        if len(p) == 1:
-            out[at[s[p[0]]]] = p[0]
-            at[s[p[0]]] += 1
-        elif len(p):
+        if len(p) <= FEW:
+            for q in p.tolist():
+                c = s[q]
+                out[at[c]] = q
+                at[c] += 1
+        else:
             symbols = s[p]
             order = np.argsort(symbols, kind="stable")
             symbols = symbols[order]
-            heads = np.append(0, np.flatnonzero(symbols[1:] != symbols[:-1]) + 1)
-            more = np.diff(heads, append=len(p))
+            heads = np.flatnonzero(np.concatenate([ONE, symbols[1:] != symbols[:-1]]))
+            more = np.concatenate([heads[1:], [len(p)]]) - heads
             out[np.repeat(at[symbols[heads]] - heads, more) + np.arange(len(p))] = p[order]
             at[symbols[heads]] += more
 
@@ -87,26 +93,27 @@ def _induced(s: np.ndarray, placed: np.ndarray, fixed: np.ndarray, first: int |
                 where = np.arange(len(p)) + sum(map(len, every))
                 every.append(p)
             front = p
-        all_ = np.concatenate(every)
-        symbols = s[all_] - lo
         # buckets in order; in each, what came from before the chunk, then from within, then the fixed
-        part = np.full(len(all_), 1)
-        part[:total], part[total : total + len(given)] = 0, 2
-        group = symbols.astype(np.int64) * 3 + part
-        key = np.arange(len(all_))
+        inner = np.concatenate(every[2:]) if parents else here[:0]
+        mine = s[inner].astype(np.int64) - lo
+        sizes = np.stack([held, np.bincount(mine, minlength=hi - lo), size[lo:hi]], 1).ravel()
+        starts = (np.cumsum(sizes) - sizes).reshape(-1, 3)
+        rank = np.empty(total + len(given) + len(inner), np.int64)
+        for k, n, at_ in ((0, total, 0), (2, len(given), total)):
+            n_ = sizes.reshape(-1, 3)[:, k]
+            rank[at_ : at_ + n] = np.repeat(starts[:, k] - (np.cumsum(n_) - n_), n_) + np.arange(n)
         if parents:
-            parent, new = np.concatenate(parents), np.arange(total + len(given), len(all_))
-            rank = np.empty(len(all_), np.int64)
-            for _ in range(len(parents) + 1):  # an order settles one step of induction after that of its parents
-                order = np.lexsort((key, group))
-                rank[order] = np.arange(len(all_))
-                key[new] = rank[parent]
-        order = np.lexsort((key, group))
-        if parents:
-            of = group[order]
-            mine = order[of % 3 == 1]
-            push(all_[mine])
-        p = before(all_[order])
+            parent, fresh = np.concatenate(parents), np.arange(total + len(given), len(rank))
+            n_ = sizes.reshape(-1, 3)[:, 1]
+            spots = np.repeat(starts[:, 1] - (np.cumsum(n_) - n_), n_) + np.arange(len(inner))
+            rank[fresh] = 0
+            for _ in parents:  # an order settles one step of induction after that of its parents
+                order = np.lexsort((rank[parent], mine))
+                rank[fresh[order]] = spots
+            push(inner[order])
+        passed = np.empty(len(rank), np.int32)
+        passed[rank] = np.concatenate([here, given, inner])
+        p = before(passed)
         push(p[s[p] >= hi])
 
     def chunk(lo: int, hi: int) -> None:
@@ -128,7 +135,7 @@ def _induced(s: np.ndarray, placed: np.ndarray, fixed: np.ndarray, first: int |
 
 def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """All suffixes in order, from the LMS suffixes in the order given."""
-    s = s.astype(np.int32)
+    s = s.astype(np.uint8 if sigma <= 1 << 8 else np.uint16 if sigma <= 1 << 16 else np.int32)  # small ones sort by digits
     large = _induced(s, ~small, lms, len(s) - 1, sigma)
     # downwards is upwards with the symbols in reverse
     rest = _induced(sigma - 1 - s, small, large[::-1], None, sigma)[::-1]
@@ -155,6 +162,23 @@ def _names(s: np.ndarray, small: np.ndarray, ordered: np.ndarray, length: np.nda
     return np.cumsum(~same) - 1
 
 
+def _recursion(names: np.ndarray, most: int) -> np.ndarray:
+    """The suffix array of names. A name that stands once ends every comparison that comes to it, so of those only the
+    ones behind repeated names go into the recursion."""
+    once = np.bincount(names, minlength=most)[names] == 1
+    keep = ~once
+    keep[1:] |= ~once[:-1]
+    if keep.all():
+        return suffix_array(names, most)
+    some = names[keep]
+    label = np.zeros(most, np.int32)
+    label[some] = 1
+    label = np.cumsum(label, dtype=np.int32) - 1
+    rank = np.zeros(len(names), np.int64)
+    rank[np.flatnonzero(keep)[suffix_array(label[some], int(label[-1]) + 1)]] = np.arange(len(some))
+    return np.argsort(names * np.int64(len(names)) + rank)
+
+
 def suffix_array(s: np.ndarray, sigma: int = 256) -> np.ndarray:
     """The suffix array of symbols below sigma; the end is smaller than every symbol."""
     n = len(s)
@@ -178,12 +202,13 @@ def suffix_array(s: np.ndarray, sigma: int = 256) -> np.ndarray:
         names[ordered] = _names(s, small, ordered, length)
         reduced = names[lms]
         most = int(reduced.max()) + 1
-        lms = lms[np.argsort(reduced) if most == len(lms) else suffix_array(reduced, most)]
+        lms = lms[np.argsort(reduced) if most == len(lms) else _recursion(reduced, most)]
     return induce(s, small, lms, sigma)
 
 
 def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For each position, the common prefix of its suffix and the one before it in the array, cut at end[position].
+    """For each position of bytes, the common prefix of its suffix and the one before it in the array, cut at
+    end[position].
 
     Common prefixes are compared only at irreducible positions, where the symbols before both suffixes differ or a
     piece begins; from there each next position's is one less."""
@@ -198,41 +223,15 @@ def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, end: np.ndarray) ->
     first[1:] |= end[1:] != end[:-1]
     # the suffix before position i + 1 is that of i moved by one only if i's is reducible from it; the bound holds anyway
     todo = np.flatnonzero(first & whole)
-    value = np.zeros(n, np.int64)
-    limit = np.minimum(end[todo] - todo, n - np.maximum(todo, before[todo])).astype(np.int64)
-    padded = np.concatenate([s.astype(np.uint8), np.zeros(8, np.uint8)]) if s.dtype == np.uint8 else None
-    k = 0
-    if padded is not None:  # eight bytes at a time
-        words = np.lib.stride_tricks.as_strided(padded, (n + 1, 8), (1, 1)).copy().view("<u8").ravel()
-        live = limit >= 8
-        slow, slow_k = [todo[~live]], [np.zeros((~live).sum(), np.int64)]
-        slow_limit = [limit[~live]]
-        run, run_limit = todo[live], limit[live]
-        while len(run):
-            equal = words[run + k] == words[before[run] + k]
-            slow.append(run[~equal])
-            slow_k.append(np.full((~equal).sum(), k, np.int64))
-            slow_limit.append(run_limit[~equal])
-            run, run_limit = run[equal], run_limit[equal]
-            k += 8
-            over = run_limit < k + 8
-            slow.append(run[over])
-            slow_k.append(np.full(over.sum(), k, np.int64))
-            slow_limit.append(run_limit[over])
-            run, run_limit = run[~over], run_limit[~over]
-        todo, done, limit = np.concatenate(slow), np.concatenate(slow_k), np.concatenate(slow_limit)
-    else:
-        done = np.zeros(len(todo), np.int64)
-    value[todo] = done
-    live = np.flatnonzero(done < limit)
-    while len(live):
-        p = todo[live] + done[live]
-        q = before[todo[live]] + done[live]
-        equal = s[p] == s[q]
-        live = live[equal]
-        done[live] += 1
-        live = live[done[live] < limit[live]]
-    value[todo] = done
+    value = np.zeros(n, np.int32)
+    limit = np.minimum(end[todo] - todo, n - np.maximum(todo, before[todo]))
+    words, k = eights(s), 0
+    while len(todo):
+        differ = words[todo + k] ^ words[before[todo] + k]
+        same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + ONE_BIT)) - ONE_BIT) >> 3).astype(np.int32)  # low zero bytes
+        done = (differ != 0) | (limit <= k + 8)
+        value[todo[done]] = np.minimum(limit[done], k + same[done])
+        todo, limit, k = todo[~done], limit[~done], k + 8
     # reducible positions: one less than the position before
     anchor = np.maximum.accumulate(np.where(first, at, 0))
     return np.maximum(value[anchor] - (at - anchor), 0)

@@ -35,7 +35,7 @@ def repeats(found: list[Fragment], length: int = LENGTH) -> list[list[int]]:
     size = np.array([len(f.text) for f in found], np.int64) + 1
     s = np.frombuffer(b"".join(f.text + b"\xff" for f in found), np.uint8)
     stop = np.cumsum(size)
-    end = np.repeat(stop - 1, size)
+    end = np.repeat((stop - 1).astype(np.int32), size)
     sa = suffix_array(s)
     common = permuted_common_prefixes(s, sa, end)
     again = common >= length
