@@ -1,9 +1,10 @@
 """Lexical retrieval packing: documents that share rare terms share training windows.
 
 Each task gathers its documents into shards of bounded size and builds a BM25 inverted index over each shard. A seed
-document asks the index for its unused neighbours, which fill its window in the order of their scores; the last gap
-is filled by cutting the next document, whose rest goes on as a document of its own. So every window of a shard but
-the last is full, and nothing is shuffled.
+document asks the index for its unused neighbours, by its rarest terms first and then by the next ones until its window
+is full or all its terms are asked; they fill it in the order of their scores. The last gap is filled by cutting the next
+document, whose rest goes on as a document of its own. So every window of a shard but the last is full, and nothing is
+shuffled.
 """
 
 from __future__ import annotations
@@ -16,15 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, slices, small_batches, table
+from .common import lean, slices, small_batches, spread, table
 from .tokens import VOCABULARY, vocabulary_path, worker_cache
 
 WINDOW = 2048
 END = 1  # the id that ends each document
 SHARD_TOKENS = 1 << 21
-QUERY_TERMS = 12  # a seed asks for its rarest terms
+QUERY_TERMS = 12  # a seed asks for its rarest terms, so many at a time
 K1, B = 1.2, 0.75
-IDS = 1 << 16
 
 
 class Bm25Index:
@@ -33,9 +33,10 @@ class Bm25Index:
     def __init__(self, ids: np.ndarray, offsets: np.ndarray):
         n = len(offsets) - 1
         size = np.diff(offsets)
-        keys, tf = np.unique(np.repeat(np.arange(n), size) * IDS + ids, return_counts=True)
-        doc, term = keys // IDS, keys % IDS
-        df = np.bincount(term, minlength=IDS)
+        kinds = int(ids.max(initial=0)) + 1
+        keys, tf = np.unique(np.repeat(np.arange(n), size) * kinds + ids, return_counts=True)
+        doc, term = keys // kinds, keys % kinds
+        df = np.bincount(term, minlength=kinds)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(1.0, size.mean() if n else 1.0)))).astype(np.float32)
         order = np.argsort(term, kind="stable")
@@ -47,16 +48,31 @@ class Bm25Index:
         doc, self.query = doc[order], term[order]
         self.query_of = np.searchsorted(doc, np.arange(n + 1))
 
+        self.held = n  # documents that were unused when the postings were last cut down to those
+
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """The unused documents that share a query term with the seed, best score first; ties by position."""
-        terms = self.query[self.query_of[seed] : min(self.query_of[seed] + QUERY_TERMS, self.query_of[seed + 1])]
-        if not len(terms):
-            return np.zeros(0, np.int64)
-        rows = np.concatenate([np.arange(self.at[t], self.at[t + 1]) for t in terms.tolist()])
-        rows = rows[unused[self.doc[rows]]]
-        found, back = np.unique(self.doc[rows], return_inverse=True)
-        score = np.bincount(back, self.weight[rows], len(found))
-        return found[np.lexsort((found, -score))]
+        """The unused documents that share one of the seed's rarest terms, best score first."""
+        return self.further(seed, unused, 0)[0]
+
+    def further(self, seed: int, unused: np.ndarray, asked: int) -> tuple[np.ndarray, int]:
+        """The unused documents that share one of the seed's next QUERY_TERMS terms, beyond those asked, best score
+        first, ties by position; of further terms if these find none. And how many terms are asked now."""
+        left = int(unused.sum())
+        if 2 * left < self.held:  # used documents' postings go, so late seeds don't read them again
+            keep = unused[self.doc]
+            self.at = np.append(0, np.cumsum(keep))[self.at]
+            self.doc, self.weight, self.held = self.doc[keep], self.weight[keep], left
+        first, last = self.query_of[seed], self.query_of[seed + 1]
+        while first + asked < last and left:
+            terms = self.query[first + asked : min(first + asked + QUERY_TERMS, last)]
+            asked += len(terms)
+            rows = spread(self.at[terms], self.at[terms + 1] - self.at[terms])
+            rows = rows[unused[self.doc[rows]]]
+            if len(rows):
+                found, back = np.unique(self.doc[rows], return_inverse=True)
+                score = np.bincount(back, self.weight[rows], len(found))
+                return found[np.lexsort((found, -score))], asked
+        return np.zeros(0, np.int64), asked
 
 
 def pack_shard(ids: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -92,8 +108,11 @@ def pack_shard(ids: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> li
             unused[d] = left[d] > 0
 
         put(seed, window)
-        near = index.neighbours(seed, unused) if used < window else ()
-        if len(near):
+        asked = 0
+        while used < window:
+            near, asked = index.further(seed, unused, asked)
+            if not len(near):
+                break
             fits = np.cumsum(left[near]) <= window - used
             for d in near[: int(np.argmin(fits)) if not fits.all() else len(near)].tolist():
                 put(d, window)
@@ -105,7 +124,7 @@ def pack_shard(ids: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> li
             rest = near[unused[near]]
             if used < window and len(rest):
                 put(int(rest[0]), window - used)
-        while used < window:  # no neighbour is left: the shard's shortest unused documents
+        while used < window:  # no neighbour is left by any term: the shard's shortest unused documents
             while tail > cursor and not unused[order[tail]]:
                 tail -= 1
             if tail <= cursor:

@@ -34,6 +34,33 @@ def test_neighbours_share_rare_terms():
     assert index.neighbours(0, unused).tolist()[:2] == [2, 4]
 
 
+def test_commoner_terms_are_asked_when_rare_ones_find_nothing(monkeypatch):
+    """And a late seed finds its neighbour, when most postings have gone."""
+    monkeypatch.setattr(packing, "QUERY_TERMS", 1)
+    docs = [[9, 30, 1], [9, 31, 1], [31, 40, 1], *([50 + k, 40, 1] for k in range(20)), [40, 30, 1]]
+    docs = [np.array(x, np.uint16) for x in docs]
+    index = packing.Bm25Index(np.concatenate(docs), np.append(0, np.cumsum([len(x) for x in docs])))
+    unused = np.zeros(len(docs), bool)
+    unused[[2, 23]] = True
+    found, asked = index.further(0, unused, 0)
+    assert found.tolist() == [23] and asked in (1, 2)
+    found, asked = index.further(0, unused, asked)
+    assert set(found.tolist()) <= {2, 23} and len(index.doc) < 10
+
+
+def test_most_pieces_come_from_retrieval():
+    """Texts that share a rare term stand in one window, though many share common terms."""
+    r = np.random.default_rng(0)
+    docs = [np.concatenate([r.integers(100, 140, 30), np.full(4, 1000 + k % 40), [1]]).astype(np.uint16) for k in range(400)]
+    ids, of = np.concatenate(docs), np.append(0, np.cumsum([len(x) for x in docs]))
+    pieces = packing.pack_shard(ids, of, 256)
+    windows = defaultdict(set)
+    for d, _, _, s, _ in pieces:
+        windows[s].add(d)
+    alike = sum(any(a != b and a % 40 == b % 40 for b in w) for w in windows.values() for a in w) / sum(map(len, windows.values()))
+    assert alike > 0.7 and sum(p[2] for p in pieces) == len(ids)
+
+
 def test_query_crc(spark, tmp_path):
     frame(spark, ["hello world", None]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r["doc_id"]: r for r in packing.op2_packing(spark, str(tmp_path)).collect()}
