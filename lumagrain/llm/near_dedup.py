@@ -288,7 +288,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("_rid", "_sub")).alias("set")).where("n > 1")
     chosen = shared.groupBy("n", "set").agg(F.min("key").alias("key"))
     parts = lambda n: F.ceil(n / F.lit(group))
-    salt = lambda n, seed: F.pmod(F.xxhash64("_rid", "_sub", F.lit(seed)), parts(n)).cast("long")
+    salt = lambda n, seed: F.pmod(F.xxhash64("_rid", "_sub", "key", F.lit(seed)), parts(n)).cast("long")
     members = stored(keys.join(chosen, "key").select("key", "_rid", "_sub", "n", salt(F.col("n"), 0).alias("salt")))
     texts = passing(keyed, Filter(members.select("_rid", "_sub")))  # only these are shuffled
     links, large = [], members
