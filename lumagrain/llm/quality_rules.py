@@ -108,10 +108,8 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def measured_order(docs: DataFrame, checks: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
     """(rule, rejection rate, seconds a row) by falling rejections per second, measured on a bounded sample of rows."""
-    session = docs.sparkSession
-    taken = docs._jdf.takeAsList(sample_rows)  # reads the first partitions only, and stays in the JVM
-    sample = DataFrame(session._jsparkSession.createDataFrame(taken, docs._jdf.schema()), session)
-    rows = max(1, taken.size())
+    taken = docs.take(sample_rows)  # reads the first partitions only
+    sample, rows = docs.sparkSession.createDataFrame(taken, docs.schema), max(1, len(taken))
     sample.agg(*(F.count_if(c) for c in checks.values())).collect()  # compiled code and warm files for all alike
     found = []
     for name, check in checks.items():
