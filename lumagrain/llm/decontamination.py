@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumagrain.storage import stored
+
 from .common import IS_ALNUM, LOWER, SHORT, HashTable, lean, same_bytes, slices, small_batches, sums, table, utf8, word_hashes, word_numbers, words
 
 WINDOW = 13
 SHARD_BYTES = 2 << 20
-BLOCK_BYTES = 32 << 20  # benchmark text that is broadcast at once; more text means more passes, in one stage
+BLOCK_BYTES = 32 << 20  # benchmark text that is broadcast at once; more text means more passes, one after the other
 ADDED = ("n_words", "n_hit", "items", "spans", "longest", "longest_item", "longest_start")
 TYPES = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, longest long, longest_item string, longest_start long"
 
@@ -191,8 +193,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     A window is so many consecutive words of an item; an item of fewer words, but not none, is one window. Null or
     empty texts have no words and hit nothing; null or empty items have no window; repeated items count once by
     their id, repeated documents each; an empty benchmark or table gives no hits or no rows. Other columns stay;
-    those with added names are replaced. Nothing is shuffled. Benchmark blocks of at most BLOCK_BYTES are broadcast,
-    each searched in its own pass over the same rows; a document's spans of all blocks are united."""
+    those with added names are replaced. Nothing is shuffled. Benchmark blocks of at most BLOCK_BYTES are broadcast one
+    after the other, each searched in a pass over the stored rows of the last; a document's spans of all blocks are
+    united. So memory doesn't grow with the benchmark."""
     small_batches(docs.sparkSession)
     docs = docs.drop(*(set(ADDED) - {text}))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -204,7 +207,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", span), ("longest", pa.int64()), ("longest_item", pa.string()), ("longest_start", pa.int64())])
 
+    shared = None
     for block in blocks(benchmark, item, item_text, window):
+        if shared is not None:
+            out = stored(out)
+            shared.destroy()
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, again=added is not None) -> Iterator[pa.RecordBatch]:
