@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lumagrain.policy import MAX_LONG, AnalysisPolicy, BlurPolicy
 
+# The least texture of a verdict, and the weights of red, green and blue.
 MIN_TEXTURE = 0.01
+LUMA = (77, 150, 29)
 MIN_LONG = -MAX_LONG - 1
 
 
@@ -91,8 +93,8 @@ def ratio_or_one(part: Column, whole: Column) -> Column:
 
 
 def luma(red: Column, green: Column, blue: Column) -> Column:
-    """8-bit luminance by integer weights 77, 150, 29."""
-    return F.shiftright(red.cast("int") * 77 + green.cast("int") * 150 + blue.cast("int") * 29 + 128, 8)
+    """8-bit luminance by integer weights."""
+    return F.shiftright(red.cast("int") * LUMA[0] + green.cast("int") * LUMA[1] + blue.cast("int") * LUMA[2] + 128, 8)
 
 
 def can_read(access: Column) -> Column:

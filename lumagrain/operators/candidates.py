@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumagrain.functions.expressions import hamming, hash_bands, metadata_compatible
+from lumagrain.functions.expressions import aspect_ratio, band_layout, hamming, hash_bands, metadata_compatible
 from lumagrain.policy import AnalysisPolicy
 from lumagrain.storage import stored
 
@@ -35,26 +35,38 @@ def complete_pairs(records: DataFrame, policy: AnalysisPolicy) -> DataFrame:
 
     Records with a capture time meet in time buckets as wide as the gap, one side in three of them, so a pair meets in
     one; with an unbounded gap, and for records without a time, hashes meet in their bands, by which no pair within
-    the distance is lost. Every meeting is checked in full."""
+    the distance is lost, and in buckets of aspect ratios. Every meeting is checked in full, and a pair is taken in the
+    first band that it shares, so none comes twice and nothing is shuffled to tell."""
     r = records.select(*COLUMNS)
     if policy.max_capture_gap_ms >= WIDE_GAP_MS:
-        return _banded(r, r, policy).where("first_id < second_id").distinct()
+        return _banded(r, r, policy, F.col("a.asset_id") < F.col("b.asset_id"))
     width = max(policy.max_capture_gap_ms, 1)
     known = r.where("captured_at_ms IS NOT NULL").withColumn("bucket", F.expr(f"captured_at_ms div {width} - IF(captured_at_ms % {width} < 0, 1, 0)"))
     wide = known.withColumn("bucket", F.explode(F.array(*(F.col("bucket") + k for k in (-1, 0, 1)))))
     timed = known.alias("a").join(wide.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.asset_id") < F.col("b.asset_id")) & qualified("a", "b", policy))
     unknown = r.where("captured_at_ms IS NULL")
-    return _pairs(timed).unionByName(_banded(unknown, r, policy).where("first_id < second_id").distinct())
+    once = F.col("b.captured_at_ms").isNotNull() | (F.col("a.asset_id") < F.col("b.asset_id"))
+    return _pairs(timed).unionByName(_banded(unknown, r, policy, once))
 
 
-def _banded(left: DataFrame, right: DataFrame, policy: AnalysisPolicy) -> DataFrame:
-    """Pairs of left and right that share a band and qualify; at distance 64 all pairs that qualify."""
+def _banded(left: DataFrame, right: DataFrame, policy: AnalysisPolicy, once: Column) -> DataFrame:
+    """Pairs of left and right that share a band, for which `once` holds, and that qualify; at distance 64 all pairs that
+    qualify. Aspect ratios are at most 1, and those of a pair are in the same or neighbouring buckets as wide as
+    the policy's delta."""
     if policy.max_perceptual_distance == 64:
         bands = F.array(F.struct(F.lit(0).alias("start_bit"), F.lit(0).alias("bit_count"), F.lit(0).cast("long").alias("value")))
+        shared = F.lit(0)
     else:
         bands = hash_bands(F.col("perceptual_hash"), policy.max_perceptual_distance)
-    a, b = (x.withColumn("band", F.explode(bands)).select("*", "band.start_bit", "band.value") for x in (left, right))
-    met = a.alias("a").join(b.alias("b"), (F.col("a.start_bit") == F.col("b.start_bit")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.asset_id") != F.col("b.asset_id")) & qualified("a", "b", policy))
+        differ, shared = F.col("a.perceptual_hash").bitwiseXOR(F.col("b.perceptual_hash")), None
+        for start, n in band_layout(policy.max_perceptual_distance):
+            equal = F.shiftrightunsigned(differ, start).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1)) == 0
+            shared = F.when(equal, F.lit(start)) if shared is None else shared.when(equal, F.lit(start))
+    bucket = F.floor(aspect_ratio(F.col("width"), F.col("height")) / F.lit(max(float(policy.max_aspect_ratio_delta), 1e-6)) * (1 - 1e-9)).cast("long")
+    a, b = (x.withColumn("band", F.explode(bands)).select("*", "band.start_bit", "band.value", bucket.alias("shape")) for x in (left, right))
+    a = a.withColumn("shape", F.explode(F.array(*(F.col("shape") + k for k in (-1, 0, 1)))))
+    meets = (F.col("a.start_bit") == F.col("b.start_bit")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.shape") == F.col("b.shape"))
+    met = a.alias("a").join(b.alias("b"), meets & (F.col("a.asset_id") != F.col("b.asset_id")) & once & (F.col("a.start_bit") == shared) & qualified("a", "b", policy))
     return _pairs(met)
 
 

@@ -6,75 +6,86 @@ among equals depends on the clusters' places in a list to whose end each merged
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumagrain.operators.graph import components
 
-MOST_MEMBERS = 4096
+
+def linked_clusters(n: int, left: np.ndarray, right: np.ndarray, distance: np.ndarray) -> list[list[int]]:
+    """Clusters of 0 .. n-1 by greedy merges of clusters whose members are all linked: the least (largest distance
+    between members, first member of the earlier cluster, first member of the later one) first. Links are (left, right,
+    distance), left < right, each once.
+
+    Two clusters can merge where each member of one is linked with each of the other, so only such pairs are held, each
+    with its largest distance; a merged cluster's neighbours are those of both. Memory follows the links, and a merge
+    costs its clusters' neighbours."""
+    both = np.concatenate([left, right])
+    order = np.argsort(both, kind="stable")
+    beside, away = np.concatenate([right, left])[order], np.concatenate([distance, distance])[order]
+    at = np.searchsorted(both[order], np.arange(n + 1))
+    first = np.lexsort((right, left, distance))
+    given = zip(distance[first].tolist(), left[first].tolist(), right[first].tolist(), strict=True)
+    members: dict[int, list[int]] = {k: [k] for k in range(n)}  # of the clusters there are; later ones are later in the list
+    merged: dict[int, dict[int, int]] = {}  # neighbours that came by merges
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def neighbours(c: int) -> dict[int, int]:
+        own = dict(zip(beside[at[c] : at[c + 1]].tolist(), away[at[c] : at[c + 1]].tolist(), strict=True)) if c < n else {}
+        return {x: d for x, d in (own | merged.pop(c, {})).items() if x in members}
+
+    new = n
+    head = next(given, None)
+    while True:
+        while head and not (head[1] in members and head[2] in members):
+            head = next(given, None)
+        while heap and not (heap[0][3] in members and heap[0][4] in members):
+            heappop(heap)
+        if head and (not heap or head < heap[0][:3]):
+            a, b = head[1:]
+        elif heap:
+            a, b = heap[0][3:]
+        else:
+            return list(members.values())
+        one, two = neighbours(a), neighbours(b)
+        whole = sorted(members.pop(a) + members.pop(b))
+        if len(two) < len(one):
+            one, two = two, one
+        near = {x: max(d, two[x]) for x, d in one.items() if x in two}
+        members[new], merged[new] = whole, near
+        for x, d in near.items():
+            merged.setdefault(x, {})[new] = d
+            heappush(heap, (d, members[x][0], whole[0], x, new))
+        new += 1
 
 
 def complete_linkage(ids: list[str], distance: np.ndarray, linked: np.ndarray) -> list[list[int]]:
-    """Clusters (indices into ids, which are sorted) by greedy merges: the least (largest distance between members,
-    first id of the earlier cluster, first id of the later one) among pairs of clusters whose members are all linked."""
-    n = len(ids)
-    members = {k: [k] for k in range(n)}
-    size = 2 * n
-    d, ok = np.zeros((size, size), np.int64), np.zeros((size, size), bool)
-    d[:n, :n], ok[:n, :n] = distance, linked
-    np.fill_diagonal(ok, False)
-    name = np.zeros(size, np.int64)  # the first member's rank
-    name[:n] = np.arange(n)
-    alive = np.zeros(size, bool)
-    alive[:n] = True
-    for new in range(n, size):
-        live = np.flatnonzero(alive)
-        left, right = np.nonzero(np.triu(ok[np.ix_(live, live)], 1))
-        if not len(left):
-            break
-        left, right = live[left], live[right]
-        best = np.lexsort((name[right], name[left], d[left, right]))[0]
-        a, b = int(left[best]), int(right[best])
-        members[new] = sorted(members.pop(a) + members.pop(b))
-        d[new], ok[new] = np.maximum(d[a], d[b]), ok[a] & ok[b]
-        d[:, new], ok[:, new] = d[new], ok[new]
-        ok[new, new] = False
-        name[new] = members[new][0]
-        alive[[a, b]], alive[new] = False, True
-    return [members[k] for k in np.flatnonzero(alive).tolist()]
-
-
-def cluster(records: DataFrame, pairs: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
+    """The same from square arrays over sorted ids."""
+    left, right = np.nonzero(np.triu(linked, 1))
+    return linked_clusters(len(ids), left, right, distance[left, right])
+
+
+def cluster(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """(asset_id, cluster_id): every record's cluster, named by its least member; a record without a pair is its own.
 
-    The pair graph's components are clustered in parallel. A component of over `most` records, far beyond what the
-    cubic greedy order can serve, is refused with an error rather than clustered otherwise."""
+    The pair graph's components, of any size, are clustered in parallel, each in one task, as the greedy order of a
+    component is one sequence; a task's memory follows the component's pairs. Distances of clusters are those of their
+    pairs, so the records themselves are not shuffled."""
     labels = components(pairs, "first_id", "second_id")
-    over = labels.groupBy("label").count().where(F.col("count") > most).limit(1).collect()
-    if over:
-        raise ValueError(f"a component of {over[0]['count']} records is over the limit of {most}")
-    near = pairs.join(labels, pairs["first_id"] == labels["node"]).select("label", "first_id", "second_id", "distance")
-    dealt = near.repartition("label").sortWithinPartitions("label")
-    hashes = records.select("asset_id", "perceptual_hash")
-    ends = dealt.join(hashes.withColumnRenamed("asset_id", "first_id").withColumnRenamed("perceptual_hash", "first_hash"), "first_id").join(hashes.withColumnRenamed("asset_id", "second_id").withColumnRenamed("perceptual_hash", "second_hash"), "second_id")
+    near = pairs.join(labels, pairs["first_id"] == labels["node"]).select("label", "first_id", "second_id", F.col("distance").cast("int").alias("distance"))
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        first, second = group.column("first_id").to_pylist(), group.column("second_id").to_pylist()
-        value = dict(zip(first, group.column("first_hash").to_pylist(), strict=True)) | dict(zip(second, group.column("second_hash").to_pylist(), strict=True))
-        ids = sorted(value)
-        at = {x: k for k, x in enumerate(ids)}
-        h = np.array([value[x] for x in ids], np.int64).view(np.uint64)
-        distance = np.bitwise_count(h[:, None] ^ h[None, :]).astype(np.int64)
-        linked = np.zeros((len(ids), len(ids)), bool)
-        for a, b in zip(first, second, strict=True):
-            linked[at[a], at[b]] = linked[at[b], at[a]] = True
-        found = complete_linkage(ids, distance, linked)
-        return pa.table({"asset_id": [ids[k] for c in found for k in c], "cluster_id": [ids[c[0]] for c in found for _ in c]})
-
-    grouped = ends.groupBy("label").applyInArrow(run, "asset_id string, cluster_id string")
-    return records.select("asset_id").join(grouped, "asset_id", "left").select("asset_id", F.coalesce("cluster_id", "asset_id").alias("cluster_id"))
-
+        first, second = (group.column(c).combine_chunks() for c in ("first_id", "second_id"))
+        ids = pc.unique(pa.concat_arrays([x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks) for x in (first, second)])).sort()
+        left, right = (pc.index_in(x, value_set=ids).to_numpy(zero_copy_only=False).astype(np.int64) for x in (first, second))
+        found = linked_clusters(len(ids), left, right, group.column("distance").to_numpy().astype(np.int64))
+        of = np.concatenate([np.full(len(c), c[0]) for c in found])
+        return pa.table({"asset_id": ids.take(pa.array(np.concatenate([np.array(c) for c in found]))), "cluster_id": ids.take(pa.array(of))})
 
+    grouped = near.groupBy("label").applyInArrow(run, "asset_id string, cluster_id string")
+    return records.select("asset_id").join(grouped, "asset_id", "left").select("asset_id", F.coalesce("cluster_id", "asset_id").alias("cluster_id"))

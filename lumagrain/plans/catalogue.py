@@ -15,7 +15,8 @@ from lumagrain.storage import stored
 from lumagrain.streaming.changes import debounced
 
 FLAGSHIP = "exact_groups"
-LOOSE = BALANCED.with_(max_capture_gap_ms=MAX_LONG, max_perceptual_distance=12)
+LOOSE = BALANCED.with_(max_capture_gap_ms=MAX_LONG, max_perceptual_distance=19)
+LOOSE_BLUR = BALANCED.with_(blur=quality.BlurPolicy(0.3, 0.4))
 FAR = BALANCED.with_(max_perceptual_distance=64, max_aspect_ratio_delta=1.0, max_capture_gap_ms=0)
 
 QUERIES: dict = {}
@@ -168,19 +169,45 @@ def hash_bands(spark: SparkSession, sf: str) -> DataFrame:
     return P.photo_vecs(spark, sf).select("asset_id", F.explode(X.hash_bands(h, 19)).alias("b")).select("asset_id", "b.start_bit", "b.bit_count", "b.value")
 
 
-@query()
+def _clusters_sql(source: str, policy) -> str:
+    """Greedy merges, one a round: of clusters whose members are all linked, the least (distance, first ids) first."""
+    place = "(SELECT i, unnest(live[i]) AS id FROM (SELECT live, unnest(range(1, len(live) + 1)) AS i FROM merges))"
+    return f"""link AS MATERIALIZED (SELECT a.asset_id AS f, b.asset_id AS s, bit_count(xor(a.perceptual_hash, b.perceptual_hash)) AS d FROM {source} a JOIN {source} b ON {_pairs_sql(policy)}),
+merges(step, live) AS (SELECT 0, (SELECT list([i] ORDER BY i) FROM (SELECT f AS i FROM link UNION SELECT s FROM link))
+ UNION ALL SELECT step + 1, list_concat(list_filter(live, lambda x: x[1] <> live[best.i][1] AND x[1] <> live[best.j][1]), [list_sort(list_concat(live[best.i], live[best.j]))])
+ FROM merges, (SELECT c.i, c.j FROM (SELECT least(x.i, y.i) AS i, greatest(x.i, y.i) AS j, count(*) AS n, max(d) AS d FROM link JOIN {place} x ON x.id = f JOIN {place} y ON y.id = s WHERE x.i <> y.i GROUP BY 1, 2) c, merges
+  WHERE c.n = len(live[c.i]) * len(live[c.j]) ORDER BY c.d, live[c.i][1], live[c.j][1] LIMIT 1) best),
+cl AS (SELECT unnest(m) AS asset_id, m[1] AS cluster_id, len(m) AS size FROM (SELECT unnest(live) AS m FROM (SELECT live FROM merges ORDER BY step DESC LIMIT 1)))"""
+
+
+def _blur_sql(policy) -> str:
+    return f"local_texture_support >= 0.01 AND laplacian_variance <= {policy.blur.laplacian_variance_ceiling} AND edge_density <= {policy.blur.edge_density_ceiling}"
+
+
+@query(f"""WITH RECURSIVE {P.VECS_SQL}, {_clusters_sql("photo_vecs", BALANCED)} SELECT v.asset_id, coalesce(cluster_id, v.asset_id) AS cluster_id FROM photo_vecs v LEFT JOIN cl ON cl.asset_id = v.asset_id""")
 def near_clusters(spark: SparkSession, sf: str) -> DataFrame:
     records = P.photo_vecs(spark, sf)
     return clustering.cluster(records, stored(candidates.complete_pairs(records, BALANCED)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {P.VECS_SQL}, {_clusters_sql("photo_vecs", BALANCED)},
+m AS (SELECT v.*, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY is_favorite DESC, is_edited DESC, laplacian_variance DESC, edge_density DESC, CAST(width AS BIGINT) * height DESC, v.asset_id) AS r FROM photo_vecs v JOIN cl ON cl.asset_id = v.asset_id WHERE size > 1),
+j AS (SELECT m.*, k.asset_id AS keeper, k.is_favorite AS kf, k.is_edited AS ke, k.laplacian_variance AS kl, k.edge_density AS kd, CAST(k.width AS BIGINT) * k.height AS kp, CAST(m.width AS BIGINT) * m.height AS px FROM m JOIN m k ON k.cluster_id = m.cluster_id AND k.r = 1)
+SELECT concat('near:', string_agg(concat(length(asset_id), ':', asset_id), '' ORDER BY asset_id)) AS group_id, string_agg(asset_id, ',' ORDER BY asset_id) AS members, keeper,
+ concat_ws(',', CASE WHEN bool_or(kf AND NOT is_favorite) THEN 'Favorite' END, CASE WHEN bool_or(ke AND NOT is_edited) THEN 'Edited' END,
+ CASE WHEN bool_or(kl > laplacian_variance OR (kl = laplacian_variance AND kd > edge_density)) THEN 'Sharper' END, CASE WHEN bool_or(kp > px) THEN 'HigherResolution' END,
+ CASE WHEN bool_or(asset_id > keeper AND kf = is_favorite AND ke = is_edited AND kl = laplacian_variance AND kd = edge_density AND kp = px) THEN 'StableTieBreak' END) AS reasons,
+ CAST(0 AS BIGINT) AS estimated_bytes FROM j GROUP BY cluster_id, keeper""")
 def near_groups(spark: SparkSession, sf: str) -> DataFrame:
     g, _ = findings.near_groups(P.photo_vecs(spark, sf), BALANCED, "complete")
     return g.select("group_id", joined("asset_ids").alias("members"), "keeper", joined("reasons").alias("reasons"), "estimated_bytes")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EXACT_SQL}, {P.VECS_SQL}, x AS (SELECT sum(byte_count) FILTER (WHERE r > 1 AND NOT is_favorite) AS freed FROM g GROUP BY se, le, perceptual_hash, sha256, size_key),
+rest AS (SELECT * EXCLUDE doc_id FROM photo_docs WHERE asset_id NOT IN (SELECT asset_id FROM g) UNION ALL BY NAME SELECT * EXCLUDE vec_id FROM photo_vecs), {_clusters_sql("rest", BALANCED)},
+n AS (SELECT (SELECT count(*) FROM x) AS exact_count, (SELECT count(DISTINCT cluster_id) FROM cl WHERE size > 1) AS near_count, (SELECT CAST(coalesce(sum(freed), 0) AS BIGINT) FROM x) AS estimated_bytes,
+ (SELECT count(*) FROM rest WHERE {_blur_sql(BALANCED)}) AS blur_count, 'Complete' AS status, (SELECT count(*) FROM link) AS attempted)
+SELECT *, exact_count + near_count + blur_count AS total_count FROM n""")
 def finding_summary(spark: SparkSession, sf: str) -> DataFrame:
     every = P.photo_docs(spark, sf).unionByName(P.photo_vecs(spark, sf))
     return findings.assemble(every, BALANCED).summary
@@ -295,19 +322,18 @@ def groups_without(spark: SparkSession, sf: str) -> DataFrame:
     return left.groupBy("group_id").agg(F.count("*").alias("members"))
 
 
-@query("""SELECT row_number() OVER (ORDER BY event_id) AS id, event_id AS completed_at_ms, CAST(user_id AS INT) AS exact_count FROM events WHERE event_type = 'purchase' AND event_id < 2000""")
+@query("""SELECT row_number() OVER (ORDER BY event_id) AS id, event_id AS completed_at_ms, CAST(user_id AS INT) AS exact_count FROM events WHERE event_type = 'purchase'""")
 def cleanup_history(spark: SparkSession, sf: str) -> DataFrame:
-    rows = P.table(spark, sf, "events").where("event_type = 'purchase' AND event_id < 2000").select(F.col("event_id").alias("completed_at_ms"), F.col("user_id").cast("int").alias("exact_count"), F.lit(0).alias("near_count"), F.lit(0).alias("blur_count"), F.lit(0).cast("long").alias("confirmed_estimated_bytes"))
+    rows = P.table(spark, sf, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("completed_at_ms"), F.col("user_id").cast("int").alias("exact_count"), F.lit(0).alias("near_count"), F.lit(0).alias("blur_count"), F.lit(0).cast("long").alias("confirmed_estimated_bytes"))
     empty = spark.createDataFrame([], index.HISTORY)
     return index.history_newest_first(index.append_history(empty, rows)).select("id", "completed_at_ms", "exact_count")
 
 
-@query(f"""WITH {EXACT_SQL}, x AS (SELECT se, le, perceptual_hash, sha256, size_key FROM g GROUP BY ALL), bl AS (SELECT asset_id FROM photo_docs WHERE local_texture_support >= 0.01 AND laplacian_variance <= 0.3 AND edge_density <= 0.4 AND asset_id NOT IN (SELECT asset_id FROM g))
-SELECT (SELECT count(*) FROM x) AS exact_count, (SELECT count(*) FROM bl) AS blur_count, (SELECT count(*) FROM x) + (SELECT count(*) FROM bl) AS total_count""")
+@query(f"""WITH RECURSIVE {EXACT_SQL}, x AS (SELECT DISTINCT se, le, perceptual_hash, sha256, size_key FROM g), rest AS (SELECT * FROM photo_docs WHERE asset_id NOT IN (SELECT asset_id FROM g)), {_clusters_sql("rest", LOOSE_BLUR)},
+n AS (SELECT (SELECT count(*) FROM x) AS exact_count, (SELECT count(DISTINCT cluster_id) FROM cl WHERE size > 1) AS near_count, (SELECT count(*) FROM rest WHERE {_blur_sql(LOOSE_BLUR)}) AS blur_count)
+SELECT *, exact_count + near_count + blur_count AS total_count FROM n""")
 def review_totals(spark: SparkSession, sf: str) -> DataFrame:
-    e = exact_groups(spark, sf).agg(F.count("*").alias("exact_count"))
-    b = blur_findings(spark, sf).agg(F.count("*").alias("blur_count"))
-    return e.crossJoin(b).withColumn("total_count", F.col("exact_count") + F.col("blur_count"))
+    return findings.assemble(P.photo_docs(spark, sf), LOOSE_BLUR).summary.select("exact_count", "near_count", "blur_count", "total_count")
 
 
 # ---- sources and changes
@@ -339,8 +365,7 @@ def ios_enumeration(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {P.DOCS_SQL}, {P.INDEX_SQL} SELECT asset_id, analyzer_version, perceptual_hash FROM stored WHERE source_signature = 'v1|103' AND analyzer_version = 1""")
 def reusable_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = P.stored_index(spark, sf).where("source_signature = 'v1|103' AND analyzer_version = 1")
-    return rows.orderBy("asset_id").select("asset_id", "analyzer_version", "perceptual_hash")
+    return index.reusable(P.stored_index(spark, sf), "v1|103", 1).select("asset_id", "analyzer_version", "perceptual_hash")
 
 
 @query("""WITH s AS (SELECT user_id, ts, event_id, event_type, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumagrain.functions.expressions import luma
+from lumagrain.functions.expressions import LUMA
 from lumagrain.schema import DESCRIPTORS, FRAMES
 
+# Prefixes of ids, and below the fields of signatures and their order.
 ANDROID_PREFIX, IOS_PREFIX = "android-media:", "ios-photo:"
 READABLE = ("Full", "Partial")
 
@@ -94,14 +99,26 @@ def preferred_resource(resources: DataFrame) -> DataFrame:
 
 
 def image_luma(images: DataFrame, id_column: str = "asset_id") -> DataFrame:
-    """Luma frames of Spark's image source rows (image: height, width, nChannels, data as BGR or grey bytes)."""
-    i = "image"
-    n = F.col(f"{i}.nChannels")
-    hexed = F.hex(F.col(f"{i}.data"))
-    byte = lambda at: F.conv(F.substr(hexed, at * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    each = F.sequence(F.lit(0), F.col(f"{i}.width") * F.col(f"{i}.height") - 1)
-    grey = F.transform(each, lambda k: F.when(n == 1, byte(k)).otherwise(luma(byte(k * n + 2), byte(k * n + 1), byte(k * n))))
-    return images.select(id_column, F.col(f"{i}.width").alias("width"), F.col(f"{i}.height").alias("height"), bytes_of(grey).alias("pixels"))
+    """Luma frames of Spark's image source rows (image: height, width, nChannels, data as BGR, BGRA or grey bytes). A
+    null image, or one whose bytes don't fit its size, has null pixels."""
+    kind = images.schema[id_column].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pixels = []
+            for w, h, n, raw in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), batch.column(4), strict=True):
+                data = np.frombuffer(raw.as_buffer(), np.uint8) if raw.is_valid else None
+                if data is None or not w or not h or n not in (1, 3, 4) or len(data) != w * h * n:
+                    pixels.append(None)
+                elif n == 1:
+                    pixels.append(data.tobytes())
+                else:
+                    blue, green, red = (data[k::n].astype(np.uint32) for k in range(3))
+                    pixels.append(((LUMA[0] * red + LUMA[1] * green + LUMA[2] * blue + 128) >> 8).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(pixels, pa.binary())], names=[id_column, "width", "height", "pixels"])
+
+    parts = images.select(id_column, *(F.col(f"image.{c}") for c in ("width", "height", "nChannels", "data")))
+    return parts.mapInArrow(run, f"`{id_column}` {kind}, width int, height int, pixels binary")
 
 
 def bytes_of(values: Column) -> Column:

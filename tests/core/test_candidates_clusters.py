@@ -129,12 +129,19 @@ def test_linkage_equals_brute_force():
         ok = d <= 2
         got = sorted(sorted(c) for c in clustering.complete_linkage([str(k) for k in range(n)], d, ok.copy()))
         assert got == plain_linkage(n, d, ok)
-
-
-def test_too_large_component_is_refused(spark):
-    rows = analysis(spark, [record(f"a{k}") for k in range(6)])
-    with pytest.raises(ValueError):
-        clustering.cluster(rows, candidates.complete_pairs(rows, OPEN), most=5)
+        keep = np.triu(r.random((n, n)) < 0.7)
+        ok &= keep | keep.T
+        assert sorted(sorted(c) for c in clustering.complete_linkage([str(k) for k in range(n)], d, ok.copy())) == plain_linkage(n, d, ok)
+
+
+def test_large_components(spark):
+    """Chains and dense groups of thousands; a chain merges at its ends first, in pairs."""
+    chain = analysis(spark, [record(f"a{k:05d}", 0, captured=k * 10) for k in range(9000)])
+    policy = OPEN.with_(max_capture_gap_ms=10)
+    found = clustering.cluster(chain, candidates.complete_pairs(chain, policy)).groupBy("cluster_id").count()
+    assert sorted(r["count"] for r in found.collect()) == [2] * 4500
+    dense = analysis(spark, [record(f"b{k:04d}", captured=5) for k in range(700)])
+    assert clustering.cluster(dense, candidates.complete_pairs(dense, policy)).select("cluster_id").distinct().count() == 1
 
 
 def test_band_layout():
