@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumagrain.llm.common import table
-from lumagrain.storage import stored
+from lumagrain.storage import intermediate, stored
 from lumagrain.llm.decontamination import decontaminate
 from lumagrain.llm.near_dedup import without_near_duplicates
 from lumagrain.llm.packing import pack
@@ -56,7 +56,9 @@ ORACLE_SQL = None  # models, sketches and tokenizers are not SQL; tests hold the
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what a stage stored on its way is removed once its result is."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with intermediate(spark):
+            docs = stored(stage(spark, docs, sf_dir), kept=True)
     return docs

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumagrain.schema import ANALYSIS, GROUPS, HISTORY, MEMBERS, InvariantError, require_unique, require_valid_analysis
-from lumagrain.storage import VersionedTable, stored
+from lumagrain.storage import VersionedTable, VersionedTables, stored
 
 STORED_AS = {"source_signature": "content_signature"}
 
@@ -45,6 +45,11 @@ def invalidate(base: DataFrame, ids: DataFrame) -> DataFrame:
     return base.join(ids.select("asset_id"), "asset_id", "left_anti").select(base.columns)
 
 
+def reusable(base: DataFrame, signature: str, version: int) -> DataFrame:
+    """The rows of this signature and analyzer version, by id."""
+    return base.where((F.col("source_signature") == signature) & (F.col("analyzer_version") == version)).orderBy("asset_id")
+
+
 def drop_groups_of(groups: DataFrame, members: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups and members without any group that has a member among the gone assets."""
     hit = members.join(gone.select("asset_id"), "asset_id", "left_semi").select("group_id").distinct()
@@ -79,10 +84,8 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
-        self.analysis = VersionedTable(spark, f"{path}/asset_analysis", ANALYSIS)
-        self.history = VersionedTable(spark, f"{path}/cleanup_history", HISTORY)
-        self.groups = VersionedTable(spark, f"{path}/finding_group", GROUPS)
-        self.members = VersionedTable(spark, f"{path}/finding_member", MEMBERS)
+        self.tables = VersionedTables(spark, path, {"asset_analysis": ANALYSIS, "cleanup_history": HISTORY, "finding_group": GROUPS, "finding_member": MEMBERS})
+        self.analysis, self.history, self.groups, self.members = (VersionedTable(self.tables, name) for name in self.tables.schemas)
 
     def partition_changed(self, descriptors: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
         return partition_changed(require_unique(descriptors), self.analysis.read(), version)
@@ -103,10 +106,7 @@ class Index:
 
     def _drop(self, gone: DataFrame, left: DataFrame) -> None:
         groups, members = drop_groups_of(self.groups.read(), self.members.read(), gone)
-        groups, members = stored(groups), stored(members)
-        self.analysis.replace(left)
-        self.groups.replace(groups)
-        self.members.replace(members)
+        self.tables.replace({"asset_analysis": left, "finding_group": groups, "finding_member": members})
 
     def record_cleanup(self, rows: DataFrame) -> None:
         self.history.replace(append_history(self.history.read(), rows))
@@ -115,14 +115,16 @@ class Index:
         return history_newest_first(self.history.read())
 
     def save_findings(self, groups: DataFrame, members: DataFrame) -> None:
-        self.groups.replace(groups)
-        self.members.replace(members)
+        lost = members.join(groups, "group_id", "left_anti").limit(1).collect()
+        if lost:
+            raise InvariantError(f"a member of no group: {lost[0]['group_id']!r}")
+        self.tables.replace({"finding_group": groups, "finding_member": members})
 
     def lookup(self, asset_id: str) -> DataFrame:
         return self.analysis.read().where(F.col("asset_id") == asset_id)
 
     def reusable(self, signature: str, version: int) -> DataFrame:
-        return self.analysis.read().where((F.col("source_signature") == signature) & (F.col("analyzer_version") == version)).orderBy("asset_id")
+        return reusable(self.analysis.read(), signature, version)
 
     def records(self) -> DataFrame:
         return self.analysis.read().orderBy("asset_id")

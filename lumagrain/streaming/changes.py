@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,6 +15,7 @@ from lumagrain.plans.scan import Coordinator
 from lumagrain.policy import AnalysisPolicy
 from lumagrain.schema import CHANGES
 from lumagrain.sources.media import READABLE
+from lumagrain.storage import exists, folders, remove
 
 QUIET = "300 milliseconds"
 
@@ -97,27 +100,65 @@ def reconcile(index: Index, coordinator: Coordinator, pending: DataFrame) -> Non
 
 
 class Reconciler:
-    """Follows a stream of changes: each micro-batch is one pending change, so what arrives while a scan runs joins the
-    next batch; batches run one after the other, each reconciling inside the scan's exclusion."""
+    """Follows a stream of changes. Each micro-batch is written beside the stream's checkpoint as pending; once none has
+    come for the quiet period, one scan reconciles all that is pending when it gets the exclusion, so what arrives while
+    another scan holds that joins the same batch. Pending changes go when their scan has ended, and those that an earlier
+    process left are taken up at the start."""
 
-    def __init__(self, coordinator: Coordinator, index: Index, policy: Callable[[], AnalysisPolicy]):
-        self.coordinator, self.index, self.policy = coordinator, index, policy
+    def __init__(self, coordinator: Coordinator, index: Index, policy: Callable[[], AnalysisPolicy], quiet_ms: int = 300):
+        self.coordinator, self.index, self.policy, self.quiet = coordinator, index, policy, quiet_ms / 1000
         self.results: list = []
-        self.query = None
+        self.query = self.worker = None
+        self.wake, self.ended, self.lock, self.last = threading.Event(), False, threading.Lock(), 0.0
 
-    def _batch(self, changes: DataFrame, _: int) -> None:
+    def _merge(self, changes: DataFrame, batch: int) -> None:
         if not changes.isEmpty():
-            self.results.append(self.coordinator.start(self.policy(), lambda: reconcile(self.index, self.coordinator, changes), wait=True))
+            with self.lock:
+                changes.select("kind", "asset_ids").write.mode("overwrite").parquet(f"{self.pending}/batch-{batch}")
+                self.last = time.monotonic()
+                self.wake.set()
+
+    def _folders(self) -> list[str]:
+        return [f for f in folders(self.index.spark, self.pending) if exists(self.index.spark, f"{f}/_SUCCESS")]
+
+    def _reconcile(self) -> None:
+        """Inside the exclusion: all that is pending by now."""
+        with self.lock:
+            self.taken = self._folders()
+            self.wake.clear()
+        if self.taken:
+            reconcile(self.index, self.coordinator, self.index.spark.read.schema("kind string, asset_ids array<string>").parquet(*self.taken))
+
+    def _follow(self) -> None:
+        while not (self.ended and not self.wake.is_set()):
+            if not self.wake.wait(0.1):
+                continue
+            left = self.last + self.quiet - time.monotonic()
+            if left > 0:
+                time.sleep(left)
+                continue
+            self.taken: list[str] = []
+            self.results.append(self.coordinator.start(self.policy(), self._reconcile, wait=True))
+            for f in self.taken:
+                remove(self.index.spark, f)
 
     def start(self, changes: DataFrame, checkpoint: str, trigger: str = QUIET):
         if self.query is None:
-            self.query = changes.writeStream.foreachBatch(self._batch).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+            self.pending, self.ended = f"{checkpoint.rstrip('/')}-pending", False
+            if self._folders():
+                self.wake.set()
+            self.worker = threading.Thread(target=self._follow, daemon=True)
+            self.worker.start()
+            self.query = changes.writeStream.foreachBatch(self._merge).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
         return self.query
 
     def stop(self) -> None:
+        """Ends the stream; what is pending is still reconciled."""
         if self.query is not None:
             self.query.stop()
-            self.query = None
+            self.ended = True
+            self.worker.join()
+            self.query = self.worker = None
 
 
 def read_changes(spark, path: str, files_per_batch: int = 100) -> DataFrame:
