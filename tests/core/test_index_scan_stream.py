@@ -141,6 +141,108 @@ def test_failures_and_control(spark, index):
     assert scan.start(POLICY, scan.cancel).state == "Cancelled"
 
 
+def test_progress_and_snapshots(spark, index):
+    photos = Photos(spark, {f"p{k}": frame_of(k) for k in range(5)})
+    scan = Coordinator(photos.library(), index, lambda: 1)
+    scan.start(POLICY)
+    done = [(s, n, t) for s, n, t in scan.progress if s == "Analyzing"]
+    assert done == [("Analyzing", 0, 5), ("Analyzing", 2, 5), ("Analyzing", 4, 5), ("Analyzing", 5, 5)] and scan.published == 4
+    assert [s for s, _, _ in scan.progress] == sorted((s for s, _, _ in scan.progress), key=["Indexing", "Analyzing", "Grouping"].index)
+    scan._publish(scan.generation, "Grouping", -1, 0)
+    scan._publish(scan.generation - 1, "Grouping", 99, 99)
+    assert scan.progress[-1][1:] != (-1, 0) and scan.progress[-1][1:] != (99, 99)
+    scan.start(POLICY)
+    assert scan.published == 2 and scan.progress[1] == ("Analyzing", 5, 5)  # nothing changed: one snapshot, then the last
+
+
+def test_failures_have_reasons(spark, index):
+    photos = Photos(spark, {"a": frame_of(1), "b": frame_of(2)})
+    scan = Coordinator(photos.library(), index, lambda: 1)
+    scan.library.frames = lambda wanted: 1 / 0  # the platform fails, access remains: assets are skipped
+    one = scan.start(POLICY)
+    assert one.state == "Ready" and one.analysed == 0 and [r["stage"] for r in one.skips.collect()] == ["LumaDecode"] * 2
+
+    def lost(wanted):
+        photos.access = "Denied"
+        raise OSError("gone")
+
+    scan.library.frames = lost
+    assert scan.start(POLICY).reason.startswith("AccessUnavailable")
+    photos.access = "Full"
+    scan.library = photos.library()
+    scan.library.descriptors = lambda: 1 / 0
+    assert scan.start(POLICY).reason.startswith("AccessUnavailable")
+    scan.library = photos.library()
+    scan.clock = lambda: 1 / 0
+    assert scan.start(POLICY).reason.startswith("Invariant") and scan.start(POLICY) is not None
+
+
+def test_tables_change_together(spark, index, monkeypatch):
+    """A change that fails on its way leaves all tables as they were."""
+    index.save(analysis(spark, [record("a"), record("b")]))
+    groups = spark.createDataFrame([("x", "exact", "p", 1, False)], index.groups.schema)
+    members = spark.createDataFrame([("x", "a", 0, True, False), ("x", "b", 1, False, True)], index.members.schema)
+    index.save_findings(groups, members)
+    with pytest.raises(InvariantError):
+        index.save_findings(groups.where("false"), members)
+    last = index.tables._last
+
+    def fails(name, complete):
+        if name == "finding_member" and not complete:
+            raise OSError("disk")
+        return last(name, complete)
+
+    monkeypatch.setattr(index.tables, "_last", fails)
+    with pytest.raises(OSError):
+        index.invalidate(spark.createDataFrame([("a",)], "asset_id string"))
+    monkeypatch.undo()
+    assert ids(index.analysis.read()) == ["a", "b"] and index.members.read().count() == 2
+    index.invalidate(spark.createDataFrame([("a",)], "asset_id string"))
+    assert ids(index.analysis.read()) == ["b"] and index.members.read().count() == 0
+
+
+def test_intermediate_tables(spark):
+    from types import SimpleNamespace
+
+    from lumagrain import storage
+
+    with storage.intermediate(spark):
+        gone = storage.stored(spark.range(3))
+        stays = storage.stored(spark.range(4), kept=True)
+        path = gone.inputFiles()[0].rpartition("/")[0]
+        assert gone.count() == 3 and storage.exists(spark, path)
+    assert not storage.exists(spark, path) and stays.count() == 4
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))))
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(away)
+
+
+def test_late_changes_join_the_batch(spark, index, tmp_path):
+    """What arrives while another scan holds the exclusion is reconciled with what waits for it."""
+    photos = Photos(spark, {"a": frame_of(1), "b": frame_of(2), "c": frame_of(3)})
+    scan = Coordinator(photos.library(), index, lambda: 1)
+    scan.start(POLICY)
+    photos.decoded = []
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    put = lambda k, i: (feed / f"{k}.json").write_text(json.dumps({"ts": "2026-01-01T00:00:00Z", "kind": "Changed", "asset_ids": [i]}) + "\n")
+    follow = c.Reconciler(scan, index, lambda: POLICY)
+    scan.lock.acquire()  # a scan is running
+    query = follow.start(c.read_changes(spark, str(feed)), str(tmp_path / "ck"))
+    put(1, "a")
+    query.processAllAvailable()
+    time.sleep(1)
+    put(2, "c")
+    query.processAllAvailable()
+    assert follow.results == []
+    scan.lock.release()
+    follow.stop()
+    assert len(follow.results) == 1 and sorted(photos.decoded) == ["a", "c"]
+    again = c.Reconciler(scan, index, lambda: POLICY)  # nothing is left for the next process
+    again.pending = follow.pending
+    assert again._folders() == []
+
+
 def event(ts, kind="Changed", ids_=()):
     return (datetime(2026, 1, 1) + timedelta(milliseconds=ts), kind, list(ids_))
 
