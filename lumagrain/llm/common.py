@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
 
 pa.set_memory_pool(pa.system_memory_pool())  # gives memory back, as workers outlive their tasks
 try:
@@ -328,6 +329,13 @@ def shielded(*reserved: str) -> Callable:
     return wrap
 
 
+def integer_key(docs: DataFrame, key: str) -> None:
+    """Refuses a key that isn't a whole number: a cast would make nulls or errors of some of its values."""
+    kind = docs.schema[key].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"the key {key} must be an integer; it is {kind.simpleString()}")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps the session's Arrow batches at ARROW_ROWS rows, or fewer where it has set fewer."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

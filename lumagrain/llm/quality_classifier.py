@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumagrain.storage import stored
 
-from .common import IS_WORD, LOWER, U64, gram_hashes, lean, mix, shielded, slices, small_batches, sums, table, utf8, word_hashes, words
+from .common import IS_WORD, LOWER, U64, gram_hashes, integer_key, lean, mix, shielded, slices, small_batches, sums, table, utf8, word_hashes, words
 
 BUCKETS = 1 << 17
 GRAMS = 2
@@ -175,6 +175,7 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     noisy weights are decided by the key's hash; rows with one key and one text are kept or rejected alike. Labels of
     unknown documents and null labels count for nothing; without labels everything is kept; an empty table gives an
     empty one. The key must be an integer."""
+    integer_key(docs, key)
     docs = docs.drop(*({"n_grams", "log_ratio", "gumbel_key", "kept"} - {key, text}))
     model = fit(docs, labels, key, text, **more)
     full = scored(docs, model, key, text, seed)
