@@ -19,7 +19,7 @@ from .common import IS_WORD, lean, prefix, sequence_hash, shielded, slices, spre
 from .fm_index import FmIndex
 from .winnow import Elements, Fragment, covered, first_of, fragments, judged, removal_spans, row_keyed, with_spans
 
-WINDOW, GRAM = 20, 5
+WINDOW, GRAM = 20, 8
 INNER = ("_rid", "_sub", "_spans", "_own")
 SHARD_BYTES, HOT_BYTES = 2 << 20, 4 << 20
 
@@ -88,9 +88,9 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     a group over hot_bytes goes by hashes of its windows."""
     added = ("n_words", "n_removed", "kept")
     keyed = row_keyed(docs.drop(*(set(added) - {key, text})), key)
-    members, shard_rows = fragments(keyed.select("_rid", "_sub", text), text, word_elements, window, gram)
+    members, shard_rows, alone = fragments(keyed.select("_rid", "_sub", text), text, word_elements, window, gram)
     later = lambda met: F.struct("_rid", "_sub", "pos") != F.col("first")
-    results = judged(shard_rows, lambda found: repeats(found, window), word_elements, window, later, shard_bytes, hot_bytes)
+    results = judged(shard_rows, alone, False, lambda found: repeats(found, window), word_elements, window, later, shard_bytes, hot_bytes)
     spans = removal_spans(members, results, window, later_whole=True)
     joined, known = with_spans(keyed, spans)
     names = [c for c in joined.columns if c not in INNER]

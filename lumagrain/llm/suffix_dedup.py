@@ -18,7 +18,7 @@ from .common import U64, byte_hash, lean, prefix, shielded, slices, table, utf8
 from .induced_sorting import permuted_common_prefixes, suffix_array
 from .winnow import Elements, Fragment, covered, first_of, fragments, joined_ranges, judged, removal_spans, row_keyed, with_spans
 
-LENGTH, GRAM = 400, 40
+LENGTH, GRAM = 400, 120  # longer grams are shared by fewer fragments that don't repeat, and make more fragments
 INNER = ("_rid", "_sub", "_spans", "_own")
 SHARD_BYTES, HOT_BYTES = 2 << 20, 4 << 20
 END = 0xFF  # no UTF-8 byte
@@ -67,8 +67,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     a group over hot_bytes goes by hashes of its windows."""
     added = ("n_bytes", "n_removed", "n_spans", "kept")
     keyed = row_keyed(docs.drop(*(set(added) - {key, text})), key)
-    members, shard_rows = fragments(keyed.select("_rid", "_sub", text), text, byte_elements, length, gram)
-    results = judged(shard_rows, lambda found: repeats(found, length), byte_elements, length, lambda met: met["copies"] > 1, shard_bytes, hot_bytes)
+    members, shard_rows, alone = fragments(keyed.select("_rid", "_sub", text), text, byte_elements, length, gram)
+    results = judged(shard_rows, alone, True, lambda found: repeats(found, length), byte_elements, length, lambda met: met["copies"] > 1, shard_bytes, hot_bytes)
     spans = removal_spans(members, results, length, later_whole=False)
     joined, known = with_spans(keyed, spans)
     names = [c for c in joined.columns if c not in INNER]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lumagrain.storage import stored
 
-from .common import U64, lean, mix, range_key, slices, small_batches
+from .common import U64, integer_key, lean, mix, range_key, slices, small_batches
 
 BLOOM_BITS = 1 << 26  # 8 MB at any size of the input: a full filter costs time, never results
 BLOOM_PARTS = 64
@@ -162,6 +162,7 @@ def row_keyed(docs: DataFrame, key: str) -> DataFrame:
     """The documents with a unique, ordered row key (_rid, _sub): the integer key itself where it is unique and
     never null; else a stored copy with null as the least key and a row number beside it, so that repeated ids stay
     documents of their own."""
+    integer_key(docs, key)
     small_batches(docs.sparkSession)
     counts = docs.groupBy(key).count().agg(F.max("count"), F.count_if(F.col(key).isNull())).first()
     if (counts[0] or 0) <= 1 and not counts[1]:
@@ -169,10 +170,11 @@ def row_keyed(docs: DataFrame, key: str) -> DataFrame:
     return stored(docs.withColumns({"_rid": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "_sub": F.monotonically_increasing_id()}))
 
 
-def fragments(docs: DataFrame, text: str, elements: Callable, window: int, gram: int, slice_bytes: int = 1 << 19) -> tuple[DataFrame, DataFrame]:
-    """(runs, shards): the runs that may repeat, stored, as (_rid, _sub, least, content, start, n windows, twice); and
-    rows for shards, partitioned by the least hash and sorted: for each distinct fragment of a least hash that recurs
-    one row of counts with its first occurrence, and its text. `docs` comes from row_keyed.
+def fragments(docs: DataFrame, text: str, elements: Callable, window: int, gram: int, slice_bytes: int = 1 << 19) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, shards, alone): the runs that may repeat, stored, as (_rid, _sub, least, content, start, n windows, twice);
+    rows for shards, partitioned by the least hash and sorted: for each distinct fragment of a least hash that different
+    fragments have, or one twice, one row of counts with its first occurrence, and its text; and the counts of fragments
+    that are all that has their least hash, which repeat as a whole and nowhere else. `docs` comes from row_keyed.
 
     Three passes over the text, each of which makes the runs anew rather than keep them: the first counts least
     hashes, the second writes the runs whose least hash recurs, the third ships the text of first occurrences. Counts
@@ -206,8 +208,9 @@ def fragments(docs: DataFrame, text: str, elements: Callable, window: int, gram:
     kinds = ["least", "content"]
     counts = members.groupBy(*kinds).agg(F.count("*").alias("copies"), F.min(F.struct("_rid", "_sub", "start")).alias("f"), F.max("n").alias("n"), F.max(F.col("twice").cast("int")).alias("twice"))
     counts = counts.select(*kinds, "copies", "f._rid", "f._sub", "f.start", "n", "twice")
-    total = counts.groupBy("least").agg(F.sum(F.col("copies") + F.col("twice")).alias("_n")).where("_n > 1").select("least")
-    counts = stored(counts.join(total, "least", "left_semi"))
+    total = counts.groupBy("least").agg(F.sum(F.col("copies") + F.col("twice")).alias("_n"), (F.count("*") + F.max("twice") > 1).alias("mixed")).where("_n > 1").drop("_n")
+    recurring = stored(counts.join(total, "least"))
+    counts, alone = recurring.where("mixed").drop("mixed"), recurring.where("NOT mixed").drop("mixed")
     firsts = Filter(counts.select("_rid", "_sub", "start"))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +229,7 @@ def fragments(docs: DataFrame, text: str, elements: Callable, window: int, gram:
     shipped = keyed.mapInArrow(lean(ship), "least long, content long, text binary")
     texts = shipped.select(*kinds, F.lit(0).cast("long").alias("copies"), *(F.lit(0).cast(t).alias(c) for c, t in (("_rid", "long"), ("_sub", "long"), ("start", "int"), ("n", "int"), ("twice", "int"))), "text")
     both = counts.withColumn("text", F.lit(None).cast("binary")).unionByName(texts)
-    return members, both.repartition("least").sortWithinPartitions("least", "content", F.desc("copies"))
+    return members, both.repartition("least").sortWithinPartitions("least", "content", F.desc("copies")), alone
 
 
 @dataclass
@@ -322,22 +325,25 @@ def joined_ranges(at: list[int]) -> list[int]:
 HOT = "least long, content long, copies long, _rid long, _sub long, start int, n int, text binary, windows array<int>"
 
 
-def judged(shard_rows: DataFrame, judge: Callable[[list[Fragment]], list[list[int]]], elements: Callable, window: int, flagged: Callable, shard_bytes: int, hot_bytes: int) -> DataFrame:
+def judged(shard_rows: DataFrame, alone: DataFrame, whole: bool, judge: Callable[[list[Fragment]], list[list[int]]], elements: Callable, window: int, flagged: Callable, shard_bytes: int, hot_bytes: int) -> DataFrame:
     """(least, content, copies, _rid, _sub, start, windows) of each distinct fragment: its first occurrence, and the
-    flat ranges of windows to remove there. `judge` does this for a shard; groups beyond hot_bytes go by window
-    hashes, of which `flagged` says which are removed."""
+    flat ranges of windows to remove there: of those alone with their least hash all windows, if `whole`, or none.
+    `judge` does this for a shard; groups beyond hot_bytes go by window hashes, of which `flagged` says which are
+    removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["least", "content", "copies", "_rid", "_sub", "start", "n", "text", "windows"]
         types = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
-        for found, whole in shards(batches, shard_bytes, hot_bytes):
-            windows = judge(found) if whole else [None] * len(found)
-            rows = [(f.least, f.content, f.copies, f.rid, f.sub, f.start, f.n, None if whole else f.text, w) for f, w in zip(found, windows, strict=True) if w is None or w or f.copies > 1]
+        for found, fits in shards(batches, shard_bytes, hot_bytes):
+            windows = judge(found) if fits else [None] * len(found)
+            rows = [(f.least, f.content, f.copies, f.rid, f.sub, f.start, f.n, None if fits else f.text, w) for f, w in zip(found, windows, strict=True) if w is None or w or f.copies > 1]
             for a in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[a : a + 2000], strict=True), types, strict=True)], names=names)
 
     out = stored(shard_rows.mapInArrow(lean(run), HOT))
     settled = out.where("windows IS NOT NULL").drop("text", "n")
+    windows = F.array(F.lit(0), F.col("n")) if whole else F.array().cast("array<int>")
+    settled = settled.unionByName(alone.select("least", "content", "copies", "_rid", "_sub", "start", windows.alias("windows")))
     hot = out.where("windows IS NULL")
     if hot.isEmpty():
         return settled
