@@ -95,7 +95,8 @@ def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str | None = N
             n = frequent.find(keys, hashes, data, starts, ends)
             rest = np.flatnonzero(n < 0)
             if len(rest):
-                n[rest] = cache.lengths[cache.find(hashes[rest], data, starts[rest], ends[rest])]
+                at = cache.find(hashes[rest], data, starts[rest], ends[rest])  # may replace the cache's arrays
+                n[rest] = cache.lengths[at]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(offsets)), pa.array(sums(n, of))], names=[*names, *out])
 
     return docs.mapInArrow(lean(run, "ids:"), schema)
