@@ -15,6 +15,7 @@ from lumagrain.schema import DESCRIPTORS, FRAMES
 # Prefixes of ids, and below the fields of signatures and their order.
 ANDROID_PREFIX, IOS_PREFIX = "android-media:", "ios-photo:"
 READABLE = ("Full", "Partial")
+MOST_BYTES = 1 << 30  # of an original that is held in one cell
 
 
 def _text(x: Column) -> Column:
@@ -80,15 +81,16 @@ def enumerate_ios(rows: DataFrame, access: str = "Full") -> DataFrame:
     return out.orderBy(F.desc_nulls_last("captured_at_ms"), F.asc("asset_id"))
 
 
-def original_bytes(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+def original_bytes(spark: SparkSession, path: str, wanted: DataFrame | None = None, most: int = MOST_BYTES) -> DataFrame:
     """(asset_id, content): files named by asset. With `wanted`, contents are read only for those assets: paths are
-    listed first, and the content column is pruned until then."""
+    listed first, and the content column is pruned until then. A file of more than `most` bytes is not read: its content
+    is null, as of one that cannot be read, and a scan skips it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = files.select(F.regexp_extract(F.col("path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("asset_id"), "path", "length")
+    named = files.select(F.regexp_extract(F.col("path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("asset_id"), "path")
     if wanted is not None:
         named = named.join(wanted.select("asset_id"), "asset_id", "left_semi")
-    contents = files.select("path", "content")
-    return named.join(contents, "path").select("asset_id", "content")
+    contents = files.where(F.col("length") <= most).select("path", "content")
+    return named.join(contents, "path", "left").select("asset_id", "content")
 
 
 def preferred_resource(resources: DataFrame) -> DataFrame:

@@ -49,6 +49,7 @@ def test_originals_are_read_for_wanted_assets(spark, tmp_path):
     wanted = spark.createDataFrame([("b",), ("zz",)], "asset_id string")
     assert [(r[0], bytes(r[1])) for r in media.original_bytes(spark, str(tmp_path), wanted).collect()] == [("b", b"bbb")]
     assert media.original_bytes(spark, str(tmp_path)).count() == 3
+    assert {r[0]: r[1] is None for r in media.original_bytes(spark, str(tmp_path), most=2).collect()} == {r[0]: len(r[1]) > 2 for r in media.original_bytes(spark, str(tmp_path)).collect()}
 
 
 def test_resources_and_access(spark):
