@@ -22,12 +22,13 @@ try:
     _libc = ctypes.CDLL(None)
     _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: arrays beyond it go back to the system when they are freed
     _libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD: smaller ones are kept for the next, up to the task's end
+    _libc.mallopt(-8, 2)  # M_ARENA_MAX: Arrow's threads leave their freed memory in few places
 except (OSError, AttributeError):  # another C library
     _libc = None
 
 
 U64 = np.uint64
-ARROW_ROWS = 1024  # rows of an Arrow batch: texts are long, and several batches are under way at once
+ARROW_ROWS, ARROW_BYTES = 1024, 8 << 20  # of an Arrow batch: texts are long, and several batches are under way at once
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -241,15 +242,20 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class HashTable:
     """Open addressing with linear probing over numpy arrays, looked up for whole arrays of 64-bit keys at once.
 
-    Holds at most half its slots; `room` says how many keys may still come. Key 0 is not allowed."""
+    Holds at most half of 2**bits slots, and begins with fewer; `room` says how many keys may still come. Key 0 is not
+    allowed."""
 
     def __init__(self, bits: int):
-        self.mask, self.n = (1 << bits) - 1, 0
+        self.most, self.n = bits, 0
+        self._allot(min(bits, 16))
+
+    def _allot(self, bits: int) -> None:
+        self.bits, self.mask = bits, (1 << bits) - 1
         self.keys, self.values = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32)
 
     @property
     def room(self) -> int:
-        return (self.mask + 1) // 2 - self.n
+        return (1 << self.most) // 2 - self.n
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The values of the keys; -1 for a key that is not held."""
@@ -268,6 +274,14 @@ class HashTable:
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Adds distinct keys that are not held yet."""
         self.n += len(keys)
+        if 2 * self.n > self.mask + 1 and self.bits < self.most:
+            held = self.keys != 0
+            old = self.keys[held], self.values[held]
+            self._allot(min(self.most, max(self.bits + 1, (2 * self.n - 1).bit_length())))
+            self._place(*old)
+        self._place(keys, values)
+
+    def _place(self, keys: np.ndarray, values: np.ndarray) -> None:
         slot = (keys & U64(self.mask)).astype(np.int64)
         todo = np.arange(len(keys))
         while len(todo):
@@ -337,11 +351,12 @@ def integer_key(docs: DataFrame, key: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the session's Arrow batches at ARROW_ROWS rows, or fewer where it has set fewer."""
+    """Keeps the session's Arrow batches at ARROW_ROWS rows and about ARROW_BYTES, or fewer where it has set fewer."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     held = int(spark.conf.get(name))
     if held <= 0 or held > ARROW_ROWS:
         spark.conf.set(name, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

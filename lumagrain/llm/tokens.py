@@ -41,17 +41,20 @@ class WordIds:
 
     def __init__(self, path: str, bits: int = 22, pool: int = 1 << 24):
         self.encoder, self.bits, self.pool = load(path), bits, pool
-        self.era = 0  # how often the cache has started anew
+        self.era, self.before_clear = 0, None  # how often the cache has started anew, and what to call before it does
         self.dtype = np.uint16 if self.encoder.get_vocab_size() <= 1 << 16 else np.uint32
         special = [(k, t.content) for k, t in sorted(self.encoder.get_added_tokens_decoder().items()) if t.special and not t.normalized]
         self.mark = special[0] if special else None
         self.clear()
 
     def clear(self) -> None:
+        if self.before_clear:
+            self.before_clear()
         self.era += 1
         self.table = HashTable(self.bits)
-        self.lengths, self.starts, self.ids, self.used, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype), 0, 0
-        self.spelled, self.spelt_at, self.sizes, self.spelling = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint8)
+        self.lengths, self.starts, self.ids, self.used, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.dtype), 0, 0
+        self.spelled, self.spelt_at, self.sizes, self.spelling = 0, np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint8)
+        self.keys = np.zeros(1 << 16, np.uint64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids, one after the other, and how many each word has."""
@@ -67,13 +70,13 @@ class WordIds:
         each = [e.ids for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter((x for ids in each for x in ids), self.dtype), np.fromiter(map(len, each), np.int64, len(each))
 
-    def _learn(self, texts: list[bytes]) -> np.ndarray:
+    def _learn(self, texts: list[bytes], keys: np.ndarray) -> np.ndarray:
         """The indices of new words, one for each."""
         flat, lengths = self.encode([t.decode("utf-8", "replace") for t in texts])
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         spelt = np.frombuffer(b"".join(texts), np.uint8)
         while self.n + len(texts) > len(self.lengths):
-            self.lengths, self.starts, self.spelt_at, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts, self.spelt_at, self.sizes))
+            self.lengths, self.starts, self.spelt_at, self.sizes, self.keys = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts, self.spelt_at, self.sizes, self.keys))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.spelled + len(spelt) > len(self.spelling):
@@ -81,6 +84,7 @@ class WordIds:
         at = slice(self.n, self.n + len(texts))
         self.lengths[at], self.starts[at] = lengths, self.used + np.cumsum(lengths) - lengths
         self.sizes[at], self.spelt_at[at] = sizes, self.spelled + np.cumsum(sizes) - sizes
+        self.keys[at] = keys
         self.ids[self.used : self.used + len(flat)] = flat
         self.spelling[self.spelled : self.spelled + len(spelt)] = spelt
         new = np.arange(self.n, self.n + len(texts))
@@ -103,7 +107,7 @@ class WordIds:
                 keys, first = np.unique(hashes, return_index=True)
                 if len(keys) > self.table.room:  # one long text with very many words
                     self.table = HashTable(int(len(keys)).bit_length() + 2)
-            self.table.add(keys, self._learn(raw(missing[first])))
+            self.table.add(keys, self._learn(raw(missing[first]), keys))
             at[missing] = self.table.find(hashes[missing])
         size = ends - starts
         long = np.flatnonzero(size > SHORT)
@@ -112,7 +116,7 @@ class WordIds:
         same[same] = same_bytes(data, starts[long[same]], self.spelling[: self.spelled], self.spelt_at[held[same]], size[long[same]])
         if not same.all():  # another word of the same key: encoded on its own
             other = long[~same]
-            at[other] = self._learn(raw(other))
+            at[other] = self._learn(raw(other), hashes[other])
         return at
 
     def batch(self, column) -> tuple[np.ndarray, np.ndarray]:
