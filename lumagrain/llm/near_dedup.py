@@ -26,6 +26,7 @@ SKETCHES, KEPT = 16, 3  # a pair at 0.8 shares one of 16 sketches of 3 with prob
 GROUP = 512  # documents of one sketch that are compared at once; larger groups are salted, and rare shingles find what salts part
 ORDER = 1 << 18  # buckets whose counts order shingles from rare to frequent; any order gives the same links
 ROUNDS = 4
+SLICE = 1 << 19  # bytes of text whose shingles are made at once
 BITS = 2048
 
 
@@ -185,7 +186,7 @@ def _rare_first(hot: DataFrame, text: str, similarity: float) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(ORDER, np.int64)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             n += np.bincount((shingles(batch.column(text))[0] % U64(ORDER)).astype(np.int64), minlength=ORDER)
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["b", "n"])
@@ -197,7 +198,7 @@ def _rare_first(hot: DataFrame, text: str, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             h, at, _, _ = shingles(batch.column(text))
             size = np.diff(at)
             doc = np.repeat(np.arange(len(size)), size)
@@ -273,7 +274,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     names = [f"s{k}" for k in range(SKETCHES)]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             h, at, whole, other = shingles(batch.column(text))
             has = np.flatnonzero(np.diff(at) > 0)
             values = sketches(h, at).view(np.int64)

@@ -34,20 +34,27 @@ class Bm25Index:
         n = len(offsets) - 1
         size = np.diff(offsets)
         kinds = int(ids.max(initial=0)) + 1
-        keys, tf = np.unique(np.repeat(np.arange(n), size) * kinds + ids, return_counts=True)
-        doc, term = keys // kinds, keys % kinds
+        keys = ids.astype(np.int64)
+        keys *= max(1, n)
+        keys += np.repeat(np.arange(n, dtype=np.int32), size)
+        keys, tf = np.unique(keys, return_counts=True)  # by term, then document
+        tf = tf.astype(np.int32)
+        term = (keys // max(1, n)).astype(np.int32)
+        keys -= term.astype(np.int64) * max(1, n)
+        doc = keys.astype(np.int32)
+        del keys
         df = np.bincount(term, minlength=kinds)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(1.0, size.mean() if n else 1.0)))).astype(np.float32)
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight, self.at = doc[order], weight[order], np.append(0, np.cumsum(df))
+        part = (K1 * (1 - B + B * size / max(1.0, size.mean() if n else 1.0))).astype(np.float32)
+        self.doc, self.at = doc, np.append(0, np.cumsum(df))
+        self.weight = idf.astype(np.float32)[term] * tf * np.float32(K1 + 1) / (tf + part[doc])
+        del tf
         # each document's query: its rarest terms that another document has as well
         shared = df[term] > 1
         doc, term = doc[shared], term[shared]
-        order = np.lexsort((term, df[term], doc))
-        doc, self.query = doc[order], term[order]
-        self.query_of = np.searchsorted(doc, np.arange(n + 1))
-
+        order = np.lexsort((term, df.astype(np.int32)[term], doc)).astype(np.int32)
+        self.query = term[order]
+        self.query_of = np.append(0, np.cumsum(np.bincount(doc, minlength=n)))
         self.held = n  # documents that were unused when the postings were last cut down to those
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
