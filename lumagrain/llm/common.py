@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -309,6 +310,7 @@ def begin_task(keep: str) -> None:
 
 
 def end_task() -> None:
+    gc.collect()
     if _libc is not None and hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)
 

@@ -223,7 +223,7 @@ def _links_across(large: DataFrame, links: DataFrame, texts: DataFrame, text: st
     held = stored(large.join(labels, me, "left").select("key", *me, F.struct(F.coalesce("l_rid", "_rid").alias("r"), F.coalesce("l_sub", "_sub").alias("s")).alias("c")))
     split = held.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
     hot = stored(held.join(split, "key").select(*me, "c").distinct())
-    firsts = _rare_first(passing(texts, Filter(hot.select(*me))), text, similarity).join(hot, me)
+    firsts = _rare_first(stored(passing(texts, Filter(hot.select(*me)))), text, similarity).join(hot, me)
     rare = stored(firsts.select(*me, "c", F.explode("firsts").alias("s")))
     of = rare.groupBy("s").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most"), F.bit_xor(F.xxhash64(*me)).alias("set")).where("least <> most")
     of = of.groupBy("n", "set").agg(F.min("s").alias("s"))

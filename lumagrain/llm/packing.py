@@ -22,7 +22,7 @@ from .tokens import VOCABULARY, vocabulary_path, worker_cache
 
 WINDOW = 2048
 END = 1  # the id that ends each document
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 QUERY_TERMS = 12  # a seed asks for its rarest terms, so many at a time
 K1, B = 1.2, 0.75
 
