@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumagrain.functions.expressions import aspect_ratio, band_layout, hamming, hash_bands, metadata_compatible
+from lumagrain.functions.expressions import aspect_ratio, hamming, hash_bands, metadata_compatible
 from lumagrain.policy import AnalysisPolicy
 from lumagrain.storage import stored
 
 MAX_ATTEMPTS = 100_000
 COLUMNS = ["asset_id", "perceptual_hash", "width", "height", "captured_at_ms"]
-#: Capture gaps from which time buckets part nothing and bands take over.
+#: Capture gaps from which time buckets part nothing and all records are compared.
 WIDE_GAP_MS = 1 << 40
+BLOCK, STRIP, ROWS = 1 << 14, 16, 1 << 17  # records of a block, and compared at once; pairs of a batch
 
 
 def qualified(a: str, b: str, policy: AnalysisPolicy):
@@ -34,40 +41,94 @@ def complete_pairs(records: DataFrame, policy: AnalysisPolicy) -> DataFrame:
     """(first_id, second_id, distance) of all qualified pairs, each once.
 
     Records with a capture time meet in time buckets as wide as the gap, one side in three of them, so a pair meets in
-    one; with an unbounded gap, and for records without a time, hashes meet in their bands, by which no pair within
-    the distance is lost, and in buckets of aspect ratios. Every meeting is checked in full, and a pair is taken in the
-    first band that it shares, so none comes twice and nothing is shuffled to tell."""
+    one; with an unbounded gap, and for records without a time, all are compared, block by block. Every meeting is
+    checked in full."""
     r = records.select(*COLUMNS)
     if policy.max_capture_gap_ms >= WIDE_GAP_MS:
-        return _banded(r, r, policy, F.col("a.asset_id") < F.col("b.asset_id"))
+        return _met(r, r, policy, False)
     width = max(policy.max_capture_gap_ms, 1)
     known = r.where("captured_at_ms IS NOT NULL").withColumn("bucket", F.expr(f"captured_at_ms div {width} - IF(captured_at_ms % {width} < 0, 1, 0)"))
     wide = known.withColumn("bucket", F.explode(F.array(*(F.col("bucket") + k for k in (-1, 0, 1)))))
     timed = known.alias("a").join(wide.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.asset_id") < F.col("b.asset_id")) & qualified("a", "b", policy))
     unknown = r.where("captured_at_ms IS NULL")
-    once = F.col("b.captured_at_ms").isNotNull() | (F.col("a.asset_id") < F.col("b.asset_id"))
-    return _pairs(timed).unionByName(_banded(unknown, r, policy, once))
-
-
-def _banded(left: DataFrame, right: DataFrame, policy: AnalysisPolicy, once: Column) -> DataFrame:
-    """Pairs of left and right that share a band, for which `once` holds, and that qualify; at distance 64 all pairs that
-    qualify. Aspect ratios are at most 1, and those of a pair are in the same or neighbouring buckets as wide as
-    the policy's delta."""
-    if policy.max_perceptual_distance == 64:
-        bands = F.array(F.struct(F.lit(0).alias("start_bit"), F.lit(0).alias("bit_count"), F.lit(0).cast("long").alias("value")))
-        shared = F.lit(0)
-    else:
-        bands = hash_bands(F.col("perceptual_hash"), policy.max_perceptual_distance)
-        differ, shared = F.col("a.perceptual_hash").bitwiseXOR(F.col("b.perceptual_hash")), None
-        for start, n in band_layout(policy.max_perceptual_distance):
-            equal = F.shiftrightunsigned(differ, start).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1)) == 0
-            shared = F.when(equal, F.lit(start)) if shared is None else shared.when(equal, F.lit(start))
-    bucket = F.floor(aspect_ratio(F.col("width"), F.col("height")) / F.lit(max(float(policy.max_aspect_ratio_delta), 1e-6)) * (1 - 1e-9)).cast("long")
-    a, b = (x.withColumn("band", F.explode(bands)).select("*", "band.start_bit", "band.value", bucket.alias("shape")) for x in (left, right))
-    a = a.withColumn("shape", F.explode(F.array(*(F.col("shape") + k for k in (-1, 0, 1)))))
-    meets = (F.col("a.start_bit") == F.col("b.start_bit")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.shape") == F.col("b.shape"))
-    met = a.alias("a").join(b.alias("b"), meets & (F.col("a.asset_id") != F.col("b.asset_id")) & once & (F.col("a.start_bit") == shared) & qualified("a", "b", policy))
-    return _pairs(met)
+    return _pairs(timed).unionByName(_met(unknown, r, policy, True))
+
+
+def _met(left: DataFrame, right: DataFrame, policy: AnalysisPolicy, timed: bool) -> DataFrame:
+    """All qualified pairs of a left record and a right one: of two ids the lesser on the left, or, with `timed`, any
+    right record with a capture time.
+
+    Bands of a distance of 19 have 3 or 4 bits and let most pairs meet more than once, so every pair whose aspect ratios
+    may fit is compared: both sides are dealt into blocks, each pair of blocks is a cell, and a cell's hashes are
+    compared as arrays. A cell's pairs leave it batch by batch, however many they are."""
+    type_ = left.schema["asset_id"].dataType.simpleString()
+    fields = [F.col("asset_id"), F.col("perceptual_hash").alias("hash"), aspect_ratio(F.col("width"), F.col("height")).alias("shape"), F.col("captured_at_ms").alias("at")]
+    sides = [x.select(*fields).where("asset_id IS NOT NULL AND hash IS NOT NULL AND shape IS NOT NULL") for x in (left, right)]
+    p, q = (max(1, -(-x.count() // BLOCK)) for x in sides)
+    a = sides[0].withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(q - 1)), lambda j: F.pmod(F.xxhash64("asset_id"), F.lit(p)) * q + j))).withColumn("_side", F.lit(0))
+    b = sides[1].withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: i * q + F.pmod(F.xxhash64("asset_id"), F.lit(q))))).withColumn("_side", F.lit(1))
+    run = functools.partial(_compare, most=policy.max_perceptual_distance, gap=policy.max_capture_gap_ms, delta=float(policy.max_aspect_ratio_delta), timed=timed)
+    dealt = a.unionByName(b).repartition(p * q, "_cell").sortWithinPartitions("_cell", "_side")
+    return dealt.mapInArrow(run, f"first_id {type_}, second_id {type_}, distance int")
+
+
+def _compare(batches: Iterator[pa.RecordBatch], most: int, gap: int, delta: float, timed: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of each cell, from rows in the order of cells."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        while batch.num_rows:
+            cell = batch.column("_cell")[0].as_py()
+            n = int(np.searchsorted(batch.column("_cell").to_numpy(), cell, side="right"))
+            if held and held[0].column("_cell")[0].as_py() != cell:
+                yield from _cell_pairs(pa.Table.from_batches(held), most, gap, delta, timed)
+                held = []
+            held.append(batch.slice(0, n))
+            batch = batch.slice(n)
+    if held:
+        yield from _cell_pairs(pa.Table.from_batches(held), most, gap, delta, timed)
+
+
+def _cell_pairs(rows: pa.Table, most: int, gap: int, delta: float, timed: bool) -> Iterator[pa.RecordBatch]:
+    rows = rows.sort_by([("_side", "ascending"), ("shape", "ascending")]).combine_chunks()
+    ids = rows.column("asset_id").combine_chunks()
+    ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
+    rank = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+    hashes, shape = rows.column("hash").to_numpy().view(np.uint64), rows.column("shape").to_numpy()
+    unknown = rows.column("at").is_null().to_numpy()
+    at = rows.column("at").fill_null(0).to_numpy().view(np.int64)
+    split = int(np.searchsorted(rows.column("_side").to_numpy(), 1))
+    right_shape, right_hash = shape[split:], hashes[split:]
+    left, right, away, n = [], [], [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        i, j, d = np.concatenate(left), np.concatenate(right), np.concatenate(away)
+        swap = rank[i] > rank[j]
+        first, second = np.where(swap, j, i), np.where(swap, i, j)
+        for k in range(0, len(i), ROWS):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first[k : k + ROWS])), ids.take(pa.array(second[k : k + ROWS])), pa.array(d[k : k + ROWS].astype(np.int32))], names=["first_id", "second_id", "distance"])
+
+    for k in range(0, split, STRIP):
+        strip = slice(k, min(k + STRIP, split))
+        # ratios are sorted: a little wider than the delta, as the difference is checked below
+        low, high = np.searchsorted(right_shape, [shape[strip][0] - delta - 1e-9, shape[strip][-1] + delta + 1e-9])
+        d = np.bitwise_count(hashes[strip, None] ^ right_hash[None, low:high])
+        found = np.flatnonzero(d.ravel() <= most)
+        if not len(found):
+            continue
+        i, j = np.divmod(found, high - low)
+        i, j, d = i + k, j + (low + split), d.ravel()[found]
+        apart = np.maximum(at[i], at[j]).view(np.uint64) - np.minimum(at[i], at[j]).view(np.uint64)
+        once = (rank[i] < rank[j]) | (timed & ~unknown[j] & (rank[i] != rank[j]))
+        good = once & (np.abs(shape[i] - shape[j]) <= delta) & (unknown[i] | unknown[j] | (apart <= np.uint64(gap)))
+        left.append(i[good])
+        right.append(j[good])
+        away.append(d[good])
+        n += len(left[-1])
+        if n >= ROWS:
+            yield from out()
+            left, right, away, n = [], [], [], 0
+    if n:
+        yield from out()
 
 
 def budgeted_pairs(records: DataFrame, policy: AnalysisPolicy, most: int = MAX_ATTEMPTS) -> tuple[DataFrame, DataFrame]:

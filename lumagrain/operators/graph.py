@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumagrain.storage import checkpointed
+from lumagrain.storage import checkpointed, stored
 
 LINKS_A_PART = 200_000
 
@@ -35,3 +35,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
         if new.where("moved").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows with their places in the order of a unique key, from 0: dealt in ranges and numbered in each; the driver
+    gets the ranges' sizes only."""
+    ranges = stored(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    before, starts = 0, {}
+    for r in ranges.groupBy("_range").count().orderBy("_range").collect():
+        starts[r["_range"]] = before
+        before += r["count"]
+    start = F.array(*(F.lit(starts.get(k, 0)).cast("long") for k in range(max(starts, default=0) + 1)))[F.col("_range")]
+    return ranges.withColumn(name, start + F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1).drop("_range")

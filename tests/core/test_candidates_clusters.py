@@ -150,3 +150,36 @@ def test_band_layout():
         assert len(layout) == d + 1 and layout[0][0] == 0 and sum(n for _, n in layout) == 64
         assert all(a + n == b for (a, n), (b, _) in zip(layout, layout[1:]))
     assert x.band_layout(64) == [] and BALANCED.max_perceptual_distance == 19
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_stages_equal_one_run(spark, monkeypatch, seed):
+    """Links taken in stages, by one task or by components, give the merges of all links taken at once."""
+    r = np.random.default_rng(seed)
+    h = [int(x) for x in r.integers(0, 256, 90)]
+    names = [f"p{k:03d}" for k in range(len(h))]
+    d = np.array([[distance(a, b) for b in h] for a in h])
+    want = {tuple(names[k] for k in c) for c in clustering.complete_linkage(names, d, d <= 4)}
+    rows = analysis(spark, [record(n, x) for n, x in zip(names, h, strict=True)])
+    pairs = candidates.complete_pairs(rows, OPEN.with_(max_perceptual_distance=4))
+    for most in (1, 200, 1 << 20):
+        monkeypatch.setattr(clustering, "LINKS_A_STAGE", most)
+        got = {}
+        for x in clustering.cluster(rows, pairs).orderBy("asset_id").collect():
+            got.setdefault(x["cluster_id"], []).append(x["asset_id"])
+        assert {tuple(c) for c in got.values()} == want, most
+
+
+def test_no_record_is_compared_in_band_after_band(spark, monkeypatch):
+    """Blocks of few records lose no pair and give none twice; records without a time meet all."""
+    monkeypatch.setattr(candidates, "BLOCK", 16)
+    r = random.Random(5)
+    hashes = [r.getrandbits(64) - (1 << 63) for _ in range(100)]
+    rows = analysis(spark, [record(f"a{k:02d}", h, w=100 + k % 3 * 40, captured=None if k % 2 else k * 10) for k, h in enumerate(hashes)])
+    for policy in (OPEN.with_(max_perceptual_distance=28, max_capture_gap_ms=100, max_aspect_ratio_delta=0.3), OPEN.with_(max_perceptual_distance=28, max_aspect_ratio_delta=0.3)):
+        gap = policy.max_capture_gap_ms
+        shape = [100 / (100 + k % 3 * 40) for k in range(100)]
+        want = [(f"a{i:02d}", f"a{j:02d}") for i in range(100) for j in range(i + 1, 100) if distance(hashes[i], hashes[j]) <= 28 and (i % 2 or j % 2 or (j - i) * 10 <= gap) and abs(shape[i] - shape[j]) <= 0.3]
+        found = candidates.complete_pairs(rows, policy)
+        assert ids(found) == sorted(want)
+        assert "_cell" in found._jdf.queryExecution().analyzed().toString()
