@@ -385,9 +385,10 @@ PAIRS_SQL = f"""{P.VECS_SQL}, pr AS (SELECT a.asset_id AS f, b.asset_id AS s, bi
 
 
 def _labelled(spark: SparkSession, sf: str):
-    features = quality.pair_features(P.photo_vecs(spark, sf).withColumn("sha256", F.col("asset_id")))
+    assets = P.photo_vecs(spark, sf).withColumn("sha256", F.col("asset_id"))
     v = lambda c: F.substring(c, 5, 8).cast("long")
-    return features, features.where(((v("first_id") + v("second_id")) % 3 == 0) & (F.col("distance") <= 20)).select("first_id", "second_id")
+    near = candidates.complete_pairs(assets, FAR.with_(max_perceptual_distance=20, max_capture_gap_ms=MAX_LONG))
+    return assets, near.where((v("first_id") + v("second_id")) % 3 == 0).select("first_id", "second_id")
 
 
 @query(f"""WITH {PAIRS_SQL}, p AS (SELECT *, d <= 19 AND coalesce(gap <= 180000, true) AND ar <= 0.04 AS hit FROM pr)
@@ -395,16 +396,16 @@ SELECT count(*) FILTER (WHERE hit AND lab) AS true_positive, count(*) FILTER (WH
  CASE WHEN count(*) FILTER (WHERE hit) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE hit AND lab) / CAST(count(*) FILTER (WHERE hit) AS DOUBLE) END AS precision,
  CASE WHEN count(*) FILTER (WHERE lab) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE hit AND lab) / CAST(count(*) FILTER (WHERE lab) AS DOUBLE) END AS recall FROM p""")
 def quality_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    features, labels = _labelled(spark, sf)
-    return quality.metrics(quality.near_predictions(features, BALANCED), labels, quality.PAIR)
+    assets, labels = _labelled(spark, sf)
+    return quality.metrics(quality.near_predictions(quality.pair_features(assets), BALANCED), labels, quality.PAIR)
 
 
 @query(f"""WITH {PAIRS_SQL}, g AS (SELECT d.range AS max_distance, w.w * 1000 AS max_gap_ms, a.a AS max_aspect FROM range(21) d, (SELECT unnest([15, 30, 60, 90, 120, 180]) AS w) w, (SELECT unnest([0.005, 0.01, 0.02, 0.04]::DOUBLE[]) AS a) a),
 h AS (SELECT g.*, lab, d <= max_distance AND coalesce(gap <= max_gap_ms, true) AND ar <= max_aspect AS hit FROM g, pr WHERE d <= 20)
 SELECT CAST(max_distance AS INT) AS max_distance, CAST(max_gap_ms AS BIGINT) AS max_gap_ms, max_aspect, count(*) FILTER (WHERE hit AND lab) AS true_positive, count(*) FILTER (WHERE hit AND NOT lab) AS false_positive, count(*) FILTER (WHERE NOT hit AND lab) AS false_negative FROM h GROUP BY ALL""")
 def policy_grid(spark: SparkSession, sf: str) -> DataFrame:
-    features, labels = _labelled(spark, sf)
-    return quality.near_grid(spark, features, labels).select("max_distance", "max_gap_ms", "max_aspect", "true_positive", "false_positive", "false_negative")
+    assets, labels = _labelled(spark, sf)
+    return quality.near_grid(spark, assets, labels).select("max_distance", "max_gap_ms", "max_aspect", "true_positive", "false_positive", "false_negative")
 
 
 @query("""SELECT * FROM (VALUES ('exact', 4, 0, 0), ('near', 24, 1, 0), ('blur', 2, 0, 1)) t(kind, true_positive, false_positive, false_negative)""")

@@ -75,3 +75,23 @@ def test_frames_are_bounded_and_turned(spark):
     rows = [("a", 1024, 256, bytearray(g.tobytes()), 90), ("b", 2, 1, bytearray([1, 2]), 180), ("c", 3, 3, bytearray(2), 0), ("d", None, 1, None, None)]
     got = {r["asset_id"]: r for r in k.bound_frames(spark.createDataFrame(rows, "asset_id string, width int, height int, pixels binary, orientation int")).collect()}
     assert (got["a"]["width"], got["a"]["height"]) == (128, 512) and bytes(got["b"]["pixels"]) == bytes([2, 1]) and len(got["c"]["pixels"]) == 2 and got["d"]["pixels"] is None
+
+
+def test_near_grid_counts_cells(spark):
+    """The grid's counts are those of every pair under every candidate, and pairs are not joined with the grid."""
+    from rows import analysis, record
+
+    r = np.random.default_rng(4)
+    rows = [record(f"p{k:02d}", int(h), f"s{k % 30}", w=int(100 + k % 4), captured=None if k % 6 == 0 else int(t)) for k, (h, t) in enumerate(zip(r.integers(0, 1 << 22, 40), r.integers(0, 300_000, 40), strict=True))]
+    assets = analysis(spark, rows)
+    features = quality.pair_features(assets).collect()
+    labels = {(f["first_id"], f["second_id"]) for k, f in enumerate(features) if k % 5 == 0}
+    found = quality.near_grid(spark, assets, spark.createDataFrame([*labels, ("p00", "none"), ("p03", "p01")], "first_id string, second_id string"))
+    got = {(x["max_distance"], x["max_gap_ms"], x["max_aspect"]): (x["true_positive"], x["false_positive"], x["false_negative"]) for x in found.collect()}
+    assert len(got) == 504
+    for (d, w, a), counts in got.items():
+        hit = {(f["first_id"], f["second_id"]) for f in features if not f["same"] and f["distance"] <= d and (f["gap_ms"] is None or f["gap_ms"] <= w) and f["aspect_delta"] <= a}
+        assert counts == (len(hit & labels), len(hit - labels), len(labels - hit))
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+    none = analysis(spark, [record("a", 0, "x"), record("b", -1, "y")])
+    assert quality.near_grid(spark, none, spark.createDataFrame([], "first_id string, second_id string")).count() == 0
