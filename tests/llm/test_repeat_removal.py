@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import defaultdict
 
@@ -102,3 +103,13 @@ def test_sliding_min():
         h = r.integers(0, 1000, n).astype(np.uint64)
         for w in (1, 3, 7, 64):
             assert winnow.sliding_min(h, w).tolist() == [int(h[k : k + w].min()) for k in range(max(0, n - w + 1))]
+
+
+def test_query_removes_passages_of_400_bytes_only(spark, tmp_path):
+    long, short = ("long " * 20 + prose(90, 41, ("a", "bc", "def"))).ljust(400, "x")[:400], prose(90, 43, ("g", "hi", "jkl"))[:399]
+    assert len(long) == 400 and len(short) == 399 and min(len(WORD.findall(x)) for x in (long, short)) > 50
+    texts = [f"aé{long}b", f"c{long}d", f"e{short}f", f"g{short}h", prose(60, 42), None]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [rows[k] for k in range(6)] == [(*x[:3], hashlib.sha256(x[3]).hexdigest()) for x in brute_bytes(texts, 400)]
+    assert [rows[k][:2] for k in range(4)] == [(404, 400), (402, 400), (401, 0), (401, 0)]
